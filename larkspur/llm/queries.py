@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .media import describe_media, encode_texts
+from .quality import classify_quality
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +20,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate,)}
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = describe_media(encode_texts(table(spark, sf_dir, "documents")))
+    return described.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_ms", F.size("keyframes").cast("long").alias("n_keyframes"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op6_media, op9_quality)}
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": r"""
