@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .media import describe_media, encode_texts
+from .packing import pack
 from .quality import classify_quality
 from .runtime import table
 
@@ -25,11 +26,15 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_ms", F.size("keyframes").cast("long").alias("n_keyframes"))
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op6_media, op9_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op6_media, op7_pack, op9_quality)}
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": r"""
