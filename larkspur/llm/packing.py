@@ -109,6 +109,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400)
         lengths = np.array(sorted(rest))
         demand = np.array([rest[int(x)] for x in lengths])
         for pattern, times in sorted(linear_program(lengths, demand, capacity, rounds), key=lambda x: -x[1]):
+            if sum(int(lengths[k]) * c for k, c in pattern.items()) < 0.99 * capacity:
+                continue  # its pieces fill other sequences better
             n = min([max(1, int(times)), *(rest[int(lengths[k])] // c for k, c in pattern.items())])
             if n > 0:
                 for k, c in pattern.items():
