@@ -12,6 +12,7 @@ from .media import describe_media, encode_texts
 from .packing import pack
 from .quality import classify_quality
 from .runtime import table
+from .substrings import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = describe_media(encode_texts(table(spark, sf_dir, "documents")))
     return described.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_ms", F.size("keyframes").cast("long").alias("n_keyframes"))
@@ -34,7 +39,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op6_media, op7_pack, op9_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op6_media, op7_pack, op9_quality)}
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": r"""

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; keeps a batch of very long texts inside a worker's memory.
 BATCH_ROWS = 512
@@ -98,3 +99,43 @@ def shards(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SH
                 held, got = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+class KeyBitmap:
+    """A one-hash Bloom filter of fixed size over long keys: no false negatives, so it only saves shuffled rows.
+
+    It never exceeds `1 << bits` bits however many keys there are; a full one filters nothing and results stay whole.
+    """
+
+    def __init__(self, keys: DataFrame, column: str, bits: int = 26):
+        self.bits = bits
+        spot = F.expr(f"(`{column}` & {(1 << bits) - 1}L) + 1")
+        rows = keys.groupBy(F.bitmap_bucket_number(spot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("b")).collect()
+        flat = np.zeros(1 << (bits - 3), np.uint8)
+        for r in rows:  # at most 2^(bits - 15) rows of 4 KiB
+            at = (r["k"] - 1) << 12
+            flat[at : at + len(r["b"])] |= np.frombuffer(bytes(r["b"]), np.uint8)
+        self.shared = keys.sparkSession.sparkContext.broadcast(flat)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.astype(np.int64) & ((1 << self.bits) - 1)
+        return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    def split(self, docs: DataFrame, column: str) -> DataFrame:
+        """docs with a boolean `maybe`."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flags = pa.array(self.has(batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, flags], [*batch.schema.names, "maybe"])
+
+        return docs.mapInArrow(work, f"{ddl(docs, docs.columns)}, maybe boolean")
+
+
+def ddl(df: DataFrame, columns: list[str] | tuple[str, ...]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def text_key() -> F.Column:
+    """With doc_id, what identifies a document: rows of equal id and text are one document."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk")
