@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import shards, stored, tuned
+from .runtime import shards, stored, text_buffers, tuned
 from .tokenise import WORD_BPE, piece_encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -37,11 +37,10 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(path)
         for shard in shards(batches):
-            raws = [(x or "").encode() for x in shard.column("text").to_pylist()]
-            ids, bounds = encoder.encode(raws)
+            ids, bounds = encoder.encode(*text_buffers(shard.column("text")))
             row, piece, start, length, crc = [], [], [], [], []
             end = np.array([END_ID], "<u4")
-            for i in range(len(raws)):
+            for i in range(len(bounds) - 1):
                 own = np.concatenate((ids[bounds[i] : bounds[i + 1]].astype("<u4"), end))
                 for k, a in enumerate(range(0, len(own), capacity)):
                     part = own[a : a + capacity]

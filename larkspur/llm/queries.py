@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .attribution import attribute_tokens, document_sections
 from .decontaminate import decontaminate
+from .lines import repeated_lines
 from .media import describe_media, encode_texts
 from .packing import pack
 from .quality import classify_quality
@@ -26,6 +28,11 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_lines(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = describe_media(encode_texts(table(spark, sf_dir, "documents")))
     return described.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_ms", F.size("keyframes").cast("long").alias("n_keyframes"))
@@ -35,11 +42,16 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = attribute_tokens(document_sections(table(spark, sf_dir, "documents")))
+    return counted.select("doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing", "doc_tokens")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op6_media, op7_pack, op9_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op5_lines, op6_media, op7_pack, op8_token_counts, op9_quality)}
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": r"""
