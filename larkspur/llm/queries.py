@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .attribution import attribute_tokens, document_sections
 from .decontaminate import decontaminate
 from .lines import repeated_lines
+from .lmscore import score_texts
 from .media import describe_media, encode_texts
 from .packing import pack
 from .quality import classify_quality
@@ -28,6 +29,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_lines(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -51,7 +56,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op5_lines, op6_media, op7_pack, op8_token_counts, op9_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op4_lm_score, op5_lines, op6_media, op7_pack, op8_token_counts, op9_quality)}
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": r"""
