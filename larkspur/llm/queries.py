@@ -12,6 +12,7 @@ from .decontaminate import decontaminate
 from .lines import repeated_lines
 from .lmscore import score_texts
 from .media import describe_media, encode_texts
+from .nearcopies import near_copies
 from .packing import pack
 from .quality import classify_quality
 from .runtime import table
@@ -56,7 +57,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op4_lm_score, op5_lines, op6_media, op7_pack, op8_token_counts, op9_quality)}
+def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op4_lm_score, op5_lines, op6_media, op7_pack, op8_token_counts, op9_quality, op10_near_copies)}
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": r"""
