@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .attribution import attribute_tokens, document_sections
+from .chat import digest, format_conversations, linear_messages
 from .decontaminate import decontaminate
 from .lines import repeated_lines
 from .lmscore import score_texts
@@ -15,7 +16,7 @@ from .media import describe_media, encode_texts
 from .nearcopies import near_copies
 from .packing import pack
 from .quality import classify_quality
-from .runtime import table
+from .runtime import stored, table
 from .substrings import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,17 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+#: A conversation that says the control strings of another template.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    formatted = stored(format_conversations(linear_messages(rows.unionByName(probe))))
+    return digest(formatted).withColumnRenamed("tree", "conv_id")
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
@@ -61,9 +73,24 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op4_lm_score, op5_lines, op6_media, op7_pack, op8_token_counts, op9_quality, op10_near_copies)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_chat, op4_lm_score, op5_lines, op6_media, op7_pack, op8_token_counts, op9_quality, op10_near_copies)}
 
 ORACLES: dict[str, str] = {
+    "op3_chat": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, regexp_replace(text, '([<\[])(~*)(\||/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1~\2\3', 'g') AS body,
+         regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '([<\[])(~*)(\||/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1~\2\3', 'g') AS name
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(body) + length(name) + 24) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
     "op1_decontaminate": r"""
 WITH dw AS (
   SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p, len(ws) AS n
