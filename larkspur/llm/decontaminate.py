@@ -103,7 +103,7 @@ class Windows:
 
 def _scan(windows: Windows, first: bool, last: bool, min_items: int, keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches):
+        for shard in shards(batches, size=4 << 20):
             data, offs = text_buffers(shard.column("text"))
             low, start, end, row = B.words(data, offs)
             n = len(offs) - 1

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,44 +29,44 @@ from .runtime import KeyBitmap, ddl, shards, stored, text_buffers, text_key, tun
 
 WINDOW = 2
 LONG_WORDS = 50
-
-_INK = np.ones(256, bool)
-_INK[10] = False
 _OTHER = 0xC2B2AE3D27D4EB4F
-_OTHER_INV = pow(_OTHER, -1, 1 << 64)
 
 
-def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each stripped non-blank line, its row, its number of words."""
-    solid = B.SOLID[data]
-    total = np.concatenate(([0], np.cumsum(solid)))
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offs] = True
-    ink = _INK[data]
-    before = np.concatenate(([False], ink[:-1])) if len(ink) else ink
-    after = np.concatenate((ink[1:], [False])) if len(ink) else ink
-    start = np.flatnonzero(ink & (~before | cut[:-1]))
-    end = np.flatnonzero(ink & (~after | cut[1:])) + 1
-    filled = total[end] > total[start]
-    start, end = start[filled], end[filled]
-    spots = np.flatnonzero(solid)
-    start, end = spots[total[start]], spots[total[end] - 1] + 1
-    begins = solid.copy()
-    if len(solid):
-        begins[1:] &= ~solid[:-1] | cut[1:-1]
-    words = np.concatenate(([0], np.cumsum(begins)))
-    # every stripped line begins with the beginning of a word
-    return start, end, np.searchsorted(offs, start, "right") - 1, words[end] - words[start]
+
+def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Each stripped non-blank line, where it begins and ends, its row."""
+    raw = data.tobytes()
+    breaks = np.flatnonzero(data == 10)
+    start = np.unique(np.concatenate((offs[:-1], breaks + 1)))
+    row = np.searchsorted(offs, start, "right") - 1
+    inside = row < len(offs) - 1
+    start, row = start[inside], row[inside]
+    after = np.searchsorted(breaks, start)
+    end = np.minimum(np.append(breaks, len(raw))[after], offs[row + 1])
+    lines, first, last, keep = [], [], [], []
+    for k, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+        line = raw[a:b].rstrip()
+        stripped = line.lstrip()
+        if stripped:
+            lines.append(stripped), first.append(a + len(line) - len(stripped)), last.append(a + len(line)), keep.append(k)
+    return lines, np.array(first, np.int64), np.array(last, np.int64), row[np.array(keep, np.int64)]
 
 
 def units(data: np.ndarray, offs: np.ndarray, window: int, long_words: int) -> dict[str, np.ndarray]:
     """The units of each row: fingerprint, two hashes, row, first line (within the row) and number of lines."""
-    start, end, row, words = line_spans(data, offs)
-    if not len(start):
+    lines, start, end, row = line_spans(data, offs)
+    if not lines:
         none = np.zeros(0, np.int64)
         return {"fp": none, "one": none, "two": none, "row": none, "line": none, "n": none}
-    line = B.mix(B.span_hash(B.prefix_hash(data), start, end) + np.uint64(1))
-    other = B.mix(B.span_hash(B.prefix_hash(data, _OTHER), start, end, _OTHER_INV) + np.uint64(2))
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in lines), np.uint64).reshape(-1, 2)
+    line, other = both[:, 0].copy(), both[:, 1].copy()
+    solid = B.SOLID[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    begins[start] = True  # a stripped line begins with the beginning of a word
+    total = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(begins, out=total[1:])
+    words = total[end] - total[start]
     number = np.arange(len(row)) - np.searchsorted(row, row)
     parts = []
     for n, at in ((window, np.flatnonzero(row[: len(row) - window + 1] == row[window - 1 :]) if len(row) >= window else np.zeros(0, np.int64)), (1, np.flatnonzero(words >= long_words))):
@@ -102,21 +103,20 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
     later = matched.join(first, ["one", "two"]).where(F.struct("doc_id", "tk", "line") > F.col("first"))
     # one row for every repeated unit; a document's own are gathered, which its length bounds
     spans = stored(later.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("line", "n")).alias("found")))
-    split = KeyBitmap(spans, "tk", 26).split(keyed, "tk")
-    clean = split.where("not maybe").select(*columns, F.expr("cast(null as array<struct<line:int,n:int>>)").alias("found"))
-    maybe = split.where("maybe")
+    hit = KeyBitmap(spans, "tk", 26)
+    maybe = hit.maybe(keyed, "tk")
     right = spans.select(F.col("doc_id").alias("w"), F.col("tk").alias("wk"), "found")
     dirty = maybe.join(right.hint("shuffle_hash"), maybe["doc_id"].eqNullSafe(F.col("w")) & (F.col("tk") == F.col("wk")), "left").select(*columns, "found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
             data, offs = text_buffers(shard.column("text"))
-            start, end, row, _ = line_spans(data, offs)
+            _, start, end, row = line_spans(data, offs)
             n = len(offs) - 1
             n_lines = np.bincount(row, minlength=n)
             first_line = np.cumsum(n_lines) - n_lines
             gone = np.zeros(len(start) + 1, np.int64)
-            for i, own in enumerate(shard.column("found").to_pylist()):
+            for i, own in enumerate(shard.column("found").to_pylist() if "found" in shard.column_names else ()):
                 for u in own or ():
                     gone[first_line[i] + u["line"]] += 1
                     gone[first_line[i] + u["line"] + u["n"]] -= 1
@@ -143,4 +143,5 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
             yield from pa.table(kept | {"n_lines": n_lines.astype(np.int64), "n_removed": removed, "n_runs": np.diff(per).astype(np.int64), "kept": pa.array(texts, pa.string())}).to_batches()
 
     out = f"{ddl(docs, keep)}, n_lines bigint, n_removed bigint, n_runs bigint, kept string"
-    return clean.mapInArrow(cut, out).unionByName(dirty.mapInArrow(cut, out))
+    clean = keyed.mapInArrow(lambda batches: cut(hit.pick(batches, "tk", False)), out)
+    return clean.unionByName(dirty.mapInArrow(cut, out))

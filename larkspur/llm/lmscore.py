@@ -124,7 +124,7 @@ def train(docs: DataFrame, tau: float = TAU) -> tuple[Model, DataFrame]:
     texts = docs.where(~held_out()).select("text")
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches):
+        for shard in shards(batches, size=2 << 20):
             word, count = np.unique(stream(*text_buffers(shard.column("text")))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["w", "c"])
 
@@ -142,7 +142,7 @@ def train(docs: DataFrame, tau: float = TAU) -> tuple[Model, DataFrame]:
     def doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         end = int(known.find(np.array([END]))[0])
-        for shard in shards(batches):
+        for shard in shards(batches, size=2 << 20):
             pair, _ = _pairs(known.find(stream(*text_buffers(shard.column("text")))[0]), end)
             pair, count = np.unique(pair, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(count)], ["pair", "c"])
@@ -177,7 +177,7 @@ def score_texts(docs: DataFrame, tau: float = TAU) -> DataFrame:
         known = shared.value
         exact = np.log10(known.counts + 1) - denominator
         end = int(known.find(np.array([END]))[0])
-        for shard in shards(batches):
+        for shard in shards(batches, size=2 << 20):
             token, row = stream(*text_buffers(shard.column("text")))
             n = shard.num_rows
             code = known.find(token)

@@ -12,17 +12,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.session import prepare
+
 #: Rows in one Arrow batch; keeps a batch of very long texts inside a worker's memory.
 BATCH_ROWS = 512
 #: Bytes of text that a Python worker works on at once.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def tuned(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+    return prepare(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,15 +123,17 @@ class KeyBitmap:
         at = keys.astype(np.int64) & ((1 << self.bits) - 1)
         return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-    def split(self, docs: DataFrame, column: str) -> DataFrame:
-        """docs with a boolean `maybe`."""
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                flags = pa.array(self.has(batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, flags], [*batch.schema.names, "maybe"])
-
-        return docs.mapInArrow(work, f"{ddl(docs, docs.columns)}, maybe boolean")
+    def pick(self, batches: Iterator[pa.RecordBatch], column: str, wanted: bool) -> Iterator[pa.RecordBatch]:
+        """The rows whose key may be held (wanted), or is surely not."""
+        for batch in batches:
+            flags = self.has(batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False))
+            part = batch if (flags == wanted).all() else batch.filter(pa.array(flags == wanted))
+            if part.num_rows:
+                yield part
+
+    def maybe(self, docs: DataFrame, column: str) -> DataFrame:
+        """The rows of docs whose key may be held."""
+        return docs.mapInArrow(lambda batches: self.pick(batches, column, True), ddl(docs, docs.columns))
 
 
 def ddl(df: DataFrame, columns: list[str] | tuple[str, ...]) -> str:

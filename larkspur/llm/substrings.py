@@ -224,7 +224,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     mixed = contents.groupBy("m").agg(F.count("*").alias("k")).where("k > 1")
     wanted = contents.join(mixed, "m").select("at.doc_id", "at.tk", F.struct("m", "at.a", "n", "times", "k").alias("r")).groupBy("doc_id", "tk").agg(F.collect_list("r").alias("rs"))
     wanted = stored(wanted)
-    some = KeyBitmap(wanted, "tk", 26).split(keyed, "tk").where("maybe").drop("maybe")
+    some = KeyBitmap(wanted, "tk", 26).maybe(keyed, "tk")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,16 +285,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     hot = rows.where("times = 1").join(twice, ["m", "one", "two"]).select("doc_id", "tk", "s", (F.col("s") + length).alias("e"))
 
     spans = stored(whole.unionByName(parts).unionByName(hot).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("s", "e")).alias("found")))
-    split = KeyBitmap(spans, "tk", 26).split(keyed, "tk")
-    clean = split.where("not maybe").select("doc_id", "text", F.expr("cast(null as array<struct<s:int,e:int>>)").alias("found"))
-    maybe = split.where("maybe")
+    hit = KeyBitmap(spans, "tk", 26)
+    maybe = hit.maybe(keyed, "tk")
     right = spans.select(F.col("doc_id").alias("w"), F.col("tk").alias("wk"), "found")
     dirty = maybe.join(right.hint("shuffle_hash"), maybe["doc_id"].eqNullSafe(F.col("w")) & (F.col("tk") == F.col("wk")), "left").select("doc_id", "text", "found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            for text, own in zip(batch.column("text").to_pylist(), _column(batch, "found"), strict=True):
                 raw = (text or "").encode()
                 spans, kept = [], raw
                 if own:
@@ -307,7 +306,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     result = f"{id_ddl}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:int,end:int>>, kept binary"
-    return clean.mapInArrow(cut, result).unionByName(dirty.mapInArrow(cut, result))
+    clean = keyed.mapInArrow(lambda batches: cut(hit.pick(batches, "tk", False)), result)
+    return clean.unionByName(dirty.mapInArrow(cut, result))
+
+
+def _column(batch: pa.RecordBatch, name: str) -> list:
+    return batch.column(name).to_pylist() if name in batch.schema.names else [None] * batch.num_rows
 
 
 _OTHER = 0xC2B2AE3D27D4EB4F
