@@ -7,10 +7,10 @@ with the probability of their weighted Jaccard similarity. Points are drawn in o
 and drawing stops at the latest kept time, so a text costs a few points for each component, whatever its length.
 
 Equal texts are one node from the start. Nodes that share a band (ROWS components) meet in a bucket. In a bucket,
-pairs in different components whose signatures agree in at least `hopeful` are joined to a spanning forest of the
-likeliest pairs; only its edges leave the task. They are verified on the whole shingle multisets, components are
-formed, and buckets that still hold hopeful, untested pairs across components go round again, until none does. A bucket
-beyond BLOCK nodes is worked on in pairs of blocks.
+pairs in different components that may be similar enough are thinned to a spanning forest of the likeliest pairs; only its edges leave the task. They are verified on the whole shingle multisets, components are
+formed, and buckets that still hold hopeful, untested pairs across components go round again with four times the
+forests, until none does. What is hopeful is told from a second, longer signature that only nodes in buckets get. A
+bucket beyond BLOCK nodes is worked on in pairs of blocks.
 
 A class is what verified links connect; its id is its least doc_id. Defined cases: a text of fewer than `shingle`
 words has one shingle, all its words; null texts and texts without words are in no class but their own; repeated rows
@@ -36,9 +36,14 @@ BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 #: Nodes of one bucket in a task.
 BLOCK = 1024
-#: Least share of agreeing components of the pairs tested, by round: first the likely ones, then all that
-#: a similarity of 0.8 can have (four standard deviations below it).
-HOPEFUL = (0.76, 0.65)
+#: Components of the longer signature of nodes that share a bucket, of which one bit each is kept.
+LONG = 1024
+
+
+def hopeful_share(threshold: float) -> float:
+    """Least estimate that is tested: four standard deviations below the threshold."""
+    same = (1 + threshold) / 2
+    return threshold - 8 * (same * (1 - same) / LONG) ** 0.5
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,10 +106,15 @@ def similarity(row_a: tuple, row_b: tuple, n: int) -> np.ndarray:
     return shared / np.maximum(np.bincount(row, count, n) - shared, 1)
 
 
-def forest(sketch: np.ndarray, component: np.ndarray, side: np.ndarray | None, hopeful: float, tested: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spanning-forest edges over components, likeliest pairs first. side: blocks, pairs within which are not looked at."""
-    n = len(sketch)
-    pairs_i, pairs_j, agree = [], [], []
+def forest(sketch: np.ndarray, component: np.ndarray, side: np.ndarray | None, hopeful: float, tested: set[tuple[int, int]], times: int = 1) -> list[tuple[int, int]]:
+    """Edges of up to `times` disjoint spanning forests over components, likeliest pairs first.
+
+    sketch: packed bits. side: blocks, pairs within which are not looked at.
+    """
+    n, bits = sketch.shape[0], sketch.shape[1] * 8
+    words = sketch.view(np.uint64)
+    pairs_i, pairs_j, differ = [], [], []
+    most = int((1 - hopeful) / 2 * bits)  # bits of texts that are alike by s agree with probability (1 + s) / 2
     for i in range(n - 1):
         other = np.arange(i + 1, n)
         ok = component[other] != component[i]
@@ -112,34 +122,40 @@ def forest(sketch: np.ndarray, component: np.ndarray, side: np.ndarray | None, h
             ok &= side[other] != side[i]
         other = other[ok]
         if len(other):
-            share = ((sketch[other] == sketch[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
-            good = share >= hopeful
-            pairs_i.append(np.full(int(good.sum()), i)), pairs_j.append(other[good]), agree.append(share[good])
+            apart = np.bitwise_count(words[other] ^ words[i]).sum(1)
+            good = apart <= most
+            pairs_i.append(np.full(int(good.sum()), i)), pairs_j.append(other[good]), differ.append(apart[good])
     if not pairs_i:
         return []
-    i, j, share = np.concatenate(pairs_i), np.concatenate(pairs_j), np.concatenate(agree)
-    order = np.argsort(-share, kind="stable")
-    parent = {c: c for c in component.tolist()}
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    out = []
-    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        if (a, b) in tested:
-            continue
-        x, y = root(int(component[a])), root(int(component[b]))
-        if x != y:
-            parent[x] = y
-            out.append((a, b))
+    i, j, apart = np.concatenate(pairs_i), np.concatenate(pairs_j), np.concatenate(differ)
+    order = np.argsort(apart, kind="stable")
+    left = [(a, b) for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True) if (a, b) not in tested]
+    out: list[tuple[int, int]] = []
+    for _ in range(times):
+        parent = {c: c for c in component.tolist()}
+
+        def root(c: int, parent: dict[int, int] = parent) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        rest = []
+        for a, b in left:
+            x, y = root(int(component[a])), root(int(component[b]))
+            if x != y:
+                parent[x] = y
+                out.append((a, b))
+            else:
+                rest.append((a, b))
+        left = rest
+        if not left:
+            break
     return out
 
 
 def sketch_texts(docs: DataFrame, shingle: int) -> DataFrame:
-    """node (hash of the text), doc_id, sketch (a byte for each component) and bands; null ones without words."""
+    """node (hash of the text), doc_id and bands; null ones without words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
@@ -148,55 +164,89 @@ def sketch_texts(docs: DataFrame, shingle: int) -> DataFrame:
             kept = signatures(row, code, weight, n)
             empty = ~np.isfinite(kept[:, 0]) if n else np.zeros(0, bool)
             bits = B.mix(kept.view(np.uint64))
-            sketch = [None if e else x.tobytes() for e, x in zip(empty, (bits >> np.uint64(56)).astype(np.uint8), strict=True)]
             band = np.zeros((n, BANDS), np.uint64)
             for r in range(ROWS):
                 band = B.mix(band * np.uint64(0xD1342543DE82EF95) + bits[:, r::ROWS] + np.uint64(r))
             band = B.mix(band + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(band.ravel()))
-            yield from pa.table({"node": shard.column("node").combine_chunks(), "doc_id": shard.column("doc_id").combine_chunks(), "sketch": pa.array(sketch, pa.binary()), "bands": bands}).to_batches()
+            bands = pa.array([None if e else x for e, x in zip(empty.tolist(), band.tolist(), strict=True)], pa.list_(pa.int64()))
+            yield from pa.table({"node": shard.column("node").combine_chunks(), "doc_id": shard.column("doc_id").combine_chunks(), "bands": bands}).to_batches()
 
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "doc_id", "text")
-    return keyed.mapInArrow(work, f"node bigint, {ddl(docs, ['doc_id'])}, sketch binary, bands array<bigint>")
+    return keyed.mapInArrow(work, f"node bigint, {ddl(docs, ['doc_id'])}, bands array<bigint>")
+
+
+def long_sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """node and sketch (LONG bits) of texts (node, text)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, size=1 << 20):
+            kept = signatures(*shingles(*text_buffers(shard.column("text")), shingle), shard.num_rows, LONG)
+            sketch = np.packbits((B.mix(kept.view(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1)
+            yield from pa.table({"node": shard.column("node").combine_chunks(), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary())}).to_batches()
+
+    return texts.select("node", "text").mapInArrow(work, "node bigint, sketch binary")
 
 
 def near_copies(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), n_links (verified links of its text to other texts) of every row."""
+    return classes(docs, threshold, shingle, block).select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, keep: tuple[str, ...], threshold: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """The columns `keep` of one row of each class, that of the least doc_id; rows without words all stay."""
+    tuned(docs.sparkSession)
+    told = stored(classes(docs, threshold, shingle)).where("c is not null")
+    best = told.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("s"))
+    goes = told.join(best, "c").where(~(F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("node") == F.col("s.node")))).select("doc_id", "node").distinct()
+    again = told.groupBy("doc_id", "node").count().where("count > 1").select("doc_id", "node", F.lit(False).alias("goes"))
+    marked = stored(again.unionByName(goes.withColumn("goes", F.lit(True))).groupBy("doc_id", "node").agg(F.max("goes").alias("goes")))
+    columns = list(dict.fromkeys(("doc_id", "text", *keep)))
+    keyed = docs.select(*columns, F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
+    hit = KeyBitmap(marked, "node", 26)
+    right = marked.select(F.col("doc_id").alias("w"), F.col("node").alias("wn"), "goes")
+    maybe = hit.maybe(keyed, "node")
+    seen = maybe.join(right.hint("shuffle_hash"), maybe["doc_id"].eqNullSafe(F.col("w")) & (F.col("node") == F.col("wn")), "left")
+    once = seen.where("goes = false").dropDuplicates(["doc_id", "node"])
+    clear = keyed.mapInArrow(lambda batches: hit.pick(batches, "node", False), ddl(keyed, keyed.columns))
+    return clear.select(*keep).unionByName(seen.where("goes is null").select(*keep)).unionByName(once.select(*keep))
+
+
+def classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """doc_id, node (the text's hash), c (the class's least node, null without words), class_id, n_links of every row."""
     spark = tuned(docs.sparkSession)
     rows = stored(sketch_texts(docs, shingle))
-    nodes = stored(rows.where("sketch is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    nodes = stored(rows.where("bands is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
     member = nodes.select("node", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     member = stored(member.join(shared, "key"))
     in_some = member.select("node").distinct()
-    sketches = stored(nodes.select("node", "sketch").join(in_some, "node"))
-    empty = "u bigint, v bigint"
-    links, tested, label = spark.createDataFrame([], empty), spark.createDataFrame([], empty), None
     keep = KeyBitmap(in_some, "node", 26)
-    texts = keep.split(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text"), "node").where("maybe").join(in_some, "node", "left_semi")
+    texts = keep.maybe(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text"), "node").join(in_some, "node", "left_semi")
     texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")))
-    for turn in range(64):
-        hopeful = HOPEFUL[min(turn, len(HOPEFUL) - 1)]
+    sketches = stored(long_sketches(texts, shingle))
+    empty = "u bigint, v bigint"
+    links, tested, label = spark.createDataFrame([], empty), spark.createDataFrame([], empty), None
+    hopeful, times = hopeful_share(threshold), 1
+    while True:
         now = member.withColumn("c", F.col("node")) if label is None else member.join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
         apart = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-        fresh = stored(_hopeful_pairs(now.join(apart, "key"), sketches, tested, hopeful, block))
+        fresh = stored(_hopeful_pairs(now.join(apart, "key"), sketches, tested, hopeful, block, times))
         if not fresh.take(1):
-            if hopeful == HOPEFUL[-1]:
-                break
-            continue
+            break
         links = stored(links.unionByName(_verified(fresh, texts, threshold, shingle)))
         tested = stored(tested.unionByName(fresh))
         label = components(links).select(F.col("u").alias("node"), F.col("v").alias("c"))
+        times *= 4  # what stays apart after likely pairs were tested needs most of its pairs tested
     degree = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     if label is None:
         label = spark.createDataFrame([], "node bigint, c bigint")
     named = nodes.select("node", "least").join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    classes = named.join(named.groupBy("c").agg(F.min("least").alias("class_id")), "c").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    alone = rows.where("sketch is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return rows.where("sketch is not null").select("node", "doc_id").join(classes, "node").select("doc_id", "class_id", "n_links").unionByName(alone)
+    named_classes = named.join(named.groupBy("c").agg(F.min("least").alias("class_id")), "c").join(degree, "node", "left").select("node", "c", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    alone = rows.where("bands is null").select("doc_id", "node", F.lit(None).cast("bigint").alias("c"), F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return rows.where("bands is not null").select("node", "doc_id").join(named_classes, "node").select("doc_id", "node", "c", "class_id", "n_links").unionByName(alone)
 
 
-def _hopeful_pairs(member: DataFrame, sketches: DataFrame, tested: DataFrame, hopeful: float, block: int) -> DataFrame:
+def _hopeful_pairs(member: DataFrame, sketches: DataFrame, tested: DataFrame, hopeful: float, block: int, times: int) -> DataFrame:
     """Distinct untested pairs (u > v) of nodes that forests over the buckets pick."""
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.hash("node"), blocks)
@@ -216,7 +266,7 @@ def _hopeful_pairs(member: DataFrame, sketches: DataFrame, tested: DataFrame, ho
             side = np.array([r["own"] for r in held]) if last[1] != last[2] else None
             at = {r["node"]: i for i, r in enumerate(held)}
             tested_here = {(min(i, at[v]), max(i, at[v])) for i, r in enumerate(held) for v in r["vain"] or () if v in at}
-            found = [(held[i]["node"], held[j]["node"]) for i, j in forest(sketch, component, side, hopeful, tested_here)]
+            found = [(held[i]["node"], held[j]["node"]) for i, j in forest(sketch, component, side, hopeful, tested_here, times)]
             return pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], ["u", "v"])
 
         for batch in batches:
