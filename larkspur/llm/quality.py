@@ -27,6 +27,8 @@ from .runtime import shards, text_buffers, tuned
 SAMPLE = 8000
 EPOCHS = 400
 HIDDEN = 16
+#: Weight decay; keeps a fit to a few dozen positives from rejecting what it has not seen.
+DECAY = 0.01
 
 
 def _class(chars: bytes | range) -> np.ndarray:
@@ -148,7 +150,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
         else:  # the estimate of a risk went below nought: step back from it
             g = np.where(is_p, prior * slope / len(xp), -slope / len(xu))
         back = np.outer(g, w[2]) * (1 - hidden * hidden)
-        grads = [x.T @ back + 1e-4 * w[0], back.sum(0), hidden.T @ g + 1e-4 * w[2], np.array([g.sum()])]
+        grads = [x.T @ back + DECAY * w[0], back.sum(0), hidden.T @ g + DECAY * w[2], np.array([g.sum()])]
         for i, d in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * d
             second[i] = 0.999 * second[i] + 0.001 * d * d
