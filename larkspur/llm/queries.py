@@ -75,6 +75,15 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_chat, op4_lm_score, op5_lines, op6_media, op7_pack, op8_token_counts, op9_quality, op10_near_copies)}
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
 ORACLES: dict[str, str] = {
     "op3_chat": r"""
 WITH c AS (
