@@ -48,9 +48,13 @@ def content_tokens(text: Column | str) -> Column:
 
 def grams(tokens: Column, k: int) -> Column:
     """Every run of k tokens joined by a space; fewer than k tokens (but some) make one run."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(tokens, i + 1, k), " "))
-    return F.when(n >= k, runs).when(n > 0, F.array(F.array_join(tokens, " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        n = F.size(t)
+        runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(t, i + 1, k), " "))
+        return F.when(n >= k, runs).when(n > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(tokens), of)[0]  # a lambda's variable: the tokens are found once, not once a run
 
 
 def whitespace_words(text: Column | str) -> Column:

@@ -35,7 +35,7 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 def reported(findings: DataFrame, seen: DataFrame, system: DataFrame) -> DataFrame:
     """Unseen first, findings about none but system contributors last, then by check and detail."""
-    known = findings.join(seen.select("fingerprint", F.lit(1).alias("s")), "fingerprint", "left").withColumn("is_seen", F.col("s").isNotNull()).drop("s")
+    known = findings.join(seen.select("fingerprint", F.lit(1).alias("s")).distinct(), "fingerprint", "left").withColumn("is_seen", F.col("s").isNotNull()).drop("s")
     own = known.select("fingerprint", F.explode("contributors").alias("id")).join(system.select("id", "system"), "id", "left")
     alone = own.groupBy("fingerprint").agg(F.bool_and(F.coalesce("system", F.lit(False))).alias("all_system"))
     return known.join(alone, "fingerprint", "left").withColumn("all_system", F.coalesce("all_system", F.lit(False))).orderBy("is_seen", "all_system", "check_id", "detail")
@@ -60,7 +60,7 @@ def blocking(findings: DataFrame, fail_on: str = "warning") -> DataFrame:
 
 def summary(findings: DataFrame, seen: DataFrame) -> DataFrame:
     """severity, total, unseen."""
-    flagged = findings.join(seen.select("fingerprint", F.lit(1).alias("s")), "fingerprint", "left")
+    flagged = findings.join(seen.select("fingerprint", F.lit(1).alias("s")).distinct(), "fingerprint", "left")
     return flagged.groupBy("severity").agg(F.count("*").alias("total"), F.count_if(F.col("s").isNull()).alias("unseen"))
 
 

@@ -88,7 +88,7 @@ def injection_mandatory_script(lines: DataFrame, bundled: DataFrame) -> DataFram
     rest = F.lit(None).cast("string")
     for p in reversed(X.MANDATORY):  # what follows the first framing that matches
         rest = F.when(F.col("line").rlike("(?Usi)" + p), F.regexp_extract("line", f"(?Usi){p}(.*)$", p.count("(") - p.count("(?") + 1)).otherwise(rest)
-    met = framed.withColumn("rest", rest).join(names, "id").where(F.col("rest").rlike(F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("file"), F.lit(r"\E(?!\w)"))))
+    met = framed.withColumn("rest", rest).join(names, "id").where(F.regexp_like("rest", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("file"), F.lit(r"\E(?!\w)"))))
     return _emit(met.select(*lines.columns).distinct(), "injection-mandatory-script", "warning")
 
 

@@ -222,10 +222,14 @@ def cc_unknown_field(documents: DataFrame) -> DataFrame:
     return _unknown(documents, CC_KNOWN, "cc-manifest-unknown-field", [])
 
 
+def _field(name: str):  # noqa: ANN202
+    return lambda p: F.struct(F.lit(name).alias("field"), p.alias("path"))
+
+
 def cc_component_missing(documents: DataFrame, listing: DataFrame) -> DataFrame:
     whole = parsed(documents).where("v is not null")
     one = lambda f: F.when(kind(get(f"$.{f}")) == "string", F.array(string(f"$.{f}"))).when(kind(get(f"$.{f}")) == "array", F.expr(f"try_variant_get(v, '$.{f}', 'array<string>')"))
-    pairs = [F.transform(F.coalesce(one(f), F.array().cast("array<string>")), lambda p, f=f: F.struct(F.lit(f).alias("field"), p.alias("path"))) for f in PATHS + INLINE]
+    pairs = [F.transform(F.coalesce(one(f), F.array().cast("array<string>")), _field(f)) for f in PATHS + INLINE]
     named = whole.select("root", "text", F.explode(F.concat(*pairs)).alias("p")).select("root", "text", "p.field", "p.path").where("path is not null")
     clean = F.regexp_replace(F.regexp_replace("path", r"^(\./)+", ""), "/+$", "")
     there = listing.select("root", F.col("relpath").alias("clean")).distinct()

@@ -38,7 +38,8 @@ def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicate(contributors: DataFrame, threshold: float = 0.85) -> DataFrame:
-    pairs = similar_pairs(sketched(contributors.where("kind = 'skill'")), threshold).where("content_hash_a <> content_hash_b")
+    rows = _cut(sketched(contributors.where("kind = 'skill'")).select("seq", "id", "content_hash", "sketch"))
+    pairs = similar_pairs(rows, threshold).where("content_hash_a <> content_hash_b")
     names = contributors.select("id", "name")
     named = pairs.join(names.withColumnsRenamed({"id": "id_a", "name": "name_a"}), "id_a").join(names.withColumnsRenamed({"id": "id_b", "name": "name_b"}), "id_b")
     return finding(named, "near-duplicate", "warning", F.array("id_a", "id_b"), F.array("name_a", "name_b"), F.array().cast("array<string>"), F.round("estimate", 6), F.array("content_hash_a", "content_hash_b"))
@@ -92,7 +93,7 @@ def representatives(routing: DataFrame, threshold: float = 0.85) -> DataFrame:
     Which member stands for a group depends on the order in which its pairs are tied, so each group's pairs are
     replayed in order of (first, second) where the group is; routing has seq, id, kind, name, content_hash, body.
     """
-    rows = sketched(routing)
+    rows = _cut(sketched(routing).select("seq", "id", "kind", "name", "content_hash", "sketch"))
     alike = similar_pairs(rows, threshold).select("seq_a", "seq_b")
     hashes = rows.select("seq", "content_hash")
     same_hash = hashes.alias("a").join(hashes.alias("b"), F.col("a.content_hash") == F.col("b.content_hash")).where("a.seq < b.seq").select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"))
