@@ -21,7 +21,8 @@ def _contract(edges: DataFrame, smaller_only: bool) -> DataFrame:
         out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
         out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
+    out = out.where("u <> v")
+    return out.distinct() if smaller_only else out
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ and drawing stops at the latest kept time, so a text costs a few points for each
 
 Equal texts are one node from the start. Nodes that share a band (ROWS components) meet in a bucket. In a bucket,
 pairs in different components that may be similar enough are thinned to a spanning forest of the likeliest pairs; only its edges leave the task. They are verified on the whole shingle multisets, components are
-formed, and buckets that still hold hopeful, untested pairs across components go round again with four times the
-forests, until none does. What is hopeful is told from a second, longer signature that only nodes in buckets get. A
-bucket beyond BLOCK nodes is worked on in pairs of blocks.
+formed, and buckets that still hold hopeful, untested pairs across components go round again with more forests, and at
+last with all such pairs. What is hopeful is told from a second, longer signature that only nodes in buckets get. A
+pair is looked at in the first bucket it shares. A bucket beyond BLOCK nodes is worked on in pairs of blocks.
 
 A class is what verified links connect; its id is its least doc_id. Defined cases: a text of fewer than `shingle`
 words has one shingle, all its words; null texts and texts without words are in no class but their own; repeated rows
@@ -36,8 +36,10 @@ BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 #: Nodes of one bucket in a task.
 BLOCK = 1024
+#: Spanning forests in each round; the last round tests every pair that is left, so nothing needs another.
+FORESTS = (1, 8, None)
 #: Components of the longer signature of nodes that share a bucket, of which one bit each is kept.
-LONG = 1024
+LONG = 2048
 
 
 def hopeful_share(threshold: float) -> float:
@@ -106,10 +108,11 @@ def similarity(row_a: tuple, row_b: tuple, n: int) -> np.ndarray:
     return shared / np.maximum(np.bincount(row, count, n) - shared, 1)
 
 
-def forest(sketch: np.ndarray, component: np.ndarray, side: np.ndarray | None, hopeful: float, tested: set[tuple[int, int]], times: int = 1) -> list[tuple[int, int]]:
-    """Edges of up to `times` disjoint spanning forests over components, likeliest pairs first.
+def forest(sketch: np.ndarray, bands: np.ndarray, key: int, component: np.ndarray, side: np.ndarray | None, hopeful: float, tested: set[tuple[int, int]], times: int | None) -> list[tuple[int, int]]:
+    """Edges of up to `times` disjoint spanning forests over components (of all, if None), likeliest pairs first.
 
-    sketch: packed bits. side: blocks, pairs within which are not looked at.
+    sketch: packed bits. bands: all band keys; a pair is only looked at in the first bucket that it shares, here the
+    one of `key`. side: blocks, pairs within which are not looked at.
     """
     n, bits = sketch.shape[0], sketch.shape[1] * 8
     words = sketch.view(np.uint64)
@@ -124,12 +127,17 @@ def forest(sketch: np.ndarray, component: np.ndarray, side: np.ndarray | None, h
         if len(other):
             apart = np.bitwise_count(words[other] ^ words[i]).sum(1)
             good = apart <= most
+            spot = np.flatnonzero(good)
+            shared = bands[other[spot]] == bands[i]
+            good[spot] = bands[i][shared.argmax(1)] == key
             pairs_i.append(np.full(int(good.sum()), i)), pairs_j.append(other[good]), differ.append(apart[good])
     if not pairs_i:
         return []
     i, j, apart = np.concatenate(pairs_i), np.concatenate(pairs_j), np.concatenate(differ)
     order = np.argsort(apart, kind="stable")
     left = [(a, b) for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True) if (a, b) not in tested]
+    if times is None:
+        return left
     out: list[tuple[int, int]] = []
     for _ in range(times):
         parent = {c: c for c in component.tolist()}
@@ -223,20 +231,19 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHING
     keep = KeyBitmap(in_some, "node", 26)
     texts = keep.maybe(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text"), "node").join(in_some, "node", "left_semi")
     texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")))
-    sketches = stored(long_sketches(texts, shingle))
+    sketches = stored(long_sketches(texts, shingle).join(nodes.select("node", "bands"), "node"))
     empty = "u bigint, v bigint"
     links, tested, label = spark.createDataFrame([], empty), spark.createDataFrame([], empty), None
-    hopeful, times = hopeful_share(threshold), 1
-    while True:
+    hopeful = hopeful_share(threshold)
+    for times in FORESTS:
         now = member.withColumn("c", F.col("node")) if label is None else member.join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
         apart = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
         fresh = stored(_hopeful_pairs(now.join(apart, "key"), sketches, tested, hopeful, block, times))
-        if not fresh.take(1):
-            break
-        links = stored(links.unionByName(_verified(fresh, texts, threshold, shingle)))
-        tested = stored(tested.unionByName(fresh))
-        label = components(links).select(F.col("u").alias("node"), F.col("v").alias("c"))
-        times *= 4  # what stays apart after likely pairs were tested needs most of its pairs tested
+        found = stored(_verified(fresh, texts, threshold, shingle))
+        if found.take(1):
+            links = links.unionByName(found)
+            label = components(links).select(F.col("u").alias("node"), F.col("v").alias("c"))
+        tested = tested.unionByName(fresh)
     degree = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     if label is None:
         label = spark.createDataFrame([], "node bigint, c bigint")
@@ -246,7 +253,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHING
     return rows.where("bands is not null").select("node", "doc_id").join(named_classes, "node").select("doc_id", "node", "c", "class_id", "n_links").unionByName(alone)
 
 
-def _hopeful_pairs(member: DataFrame, sketches: DataFrame, tested: DataFrame, hopeful: float, block: int, times: int) -> DataFrame:
+def _hopeful_pairs(member: DataFrame, sketches: DataFrame, tested: DataFrame, hopeful: float, block: int, times: int | None) -> DataFrame:
     """Distinct untested pairs (u > v) of nodes that forests over the buckets pick."""
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.hash("node"), blocks)
@@ -266,7 +273,8 @@ def _hopeful_pairs(member: DataFrame, sketches: DataFrame, tested: DataFrame, ho
             side = np.array([r["own"] for r in held]) if last[1] != last[2] else None
             at = {r["node"]: i for i, r in enumerate(held)}
             tested_here = {(min(i, at[v]), max(i, at[v])) for i, r in enumerate(held) for v in r["vain"] or () if v in at}
-            found = [(held[i]["node"], held[j]["node"]) for i, j in forest(sketch, component, side, hopeful, tested_here, times)]
+            bands = np.array([r["bands"] for r in held])
+            found = [(held[i]["node"], held[j]["node"]) for i, j in forest(sketch, bands, last[0], component, side, hopeful, tested_here, times)]
             return pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], ["u", "v"])
 
         for batch in batches:
