@@ -65,17 +65,19 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     parents = now.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
     leaves = now.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti").select("tree", "node")
     # up: the ancestor 2^k above (null beyond the root); reach: steps up to it or to the root; score: of those passed
-    jumps = [now.where("up is not null").select("tree", "node", "up")]
+    active, done = now.where("up is not null"), now.where("up is null")
+    jumps = [active.select("tree", "node", "up")]
     most = now.count().bit_length()  # in a cycle pointers never end, and no path is longer than this many doublings
     for _ in range(most):
-        higher = now.select(F.col("tree").alias("t"), F.col("node").alias("p"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("reach").alias("reach2"))
-        joined = now.join(higher, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("p")), "left")
+        higher = active.unionByName(done).select(F.col("tree").alias("t"), F.col("node").alias("p"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("reach").alias("reach2"))
+        joined = active.join(higher, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("p")), "left")
         now = stored(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("reach") + F.coalesce("reach2", F.lit(0))).alias("reach")))
-        step = now.where("up is not null").select("tree", "node", "up")
-        if not step.take(1):
+        done = done.unionByName(now.where("up is null"))  # only messages whose root is not reached yet go on
+        active = now.where("up is not null")
+        if not active.take(1):
             break
-        jumps.append(step)
-    ended = now.where("up is null").select("tree", "node", "score", "reach").join(leaves.withColumnsRenamed({"tree": "t", "node": "p"}), F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p"))).drop("t", "p")
+        jumps.append(active.select("tree", "node", "up"))
+    ended = done.select("tree", "node", "score", "reach").join(leaves.withColumnsRenamed({"tree": "t", "node": "p"}), F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p"))).drop("t", "p")
     rank = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("reach").desc(), "node")
     on = stored(ended.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= best).select("tree", "branch", "node", F.col("reach").alias("depth")))
     for k in range(len(jumps) - 1, -1, -1):  # every ancestor is a sum of distinct powers of two above the leaf
