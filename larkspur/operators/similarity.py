@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
@@ -53,10 +53,21 @@ def gram_vectors(rows: DataFrame, k: int = 2) -> DataFrame:
 
 
 def cosine_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """id_a, id_b, cosine of pairs of rows (id, routing_text), id_a < id_b, over two-word grams."""
-    v = gram_vectors(rows)
-    a, b = (v.select(F.col("id").alias(f"id_{s}"), "gram", (F.col("tf") / F.col("norm")).alias(f"w_{s}")) for s in "ab")
-    return a.join(b, "gram").where("id_a < id_b").groupBy("id_a", "id_b").agg(F.round(F.least(F.sum(F.col("w_a") * F.col("w_b")), F.lit(1.0)), 6).alias("cosine")).where(F.col("cosine") >= threshold)
+    """id_a, id_b, cosine of pairs of rows (id, routing_text), id_a < id_b, over two-word grams.
+
+    Grams are ordered from rare to frequent. What lies behind the point where the rest of a vector is shorter than the
+    threshold cannot make a pair on its own, so only grams before it are indexed and a frequent gram makes no list of
+    all rows that say it. Candidates then get their whole cosine.
+    """
+    v = gram_vectors(rows).select("id", "gram", (F.col("tf") / F.col("norm")).alias("w"))
+    ranked = v.join(v.groupBy("gram").agg(F.count("*").alias("df")), "gram")
+    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id").orderBy(F.col("df").desc(), F.col("gram").desc()))
+    index = ranked.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold - 1e-9).select("id", "gram")
+    a, b = index.select(F.col("id").alias("id_a"), "gram"), index.select(F.col("id").alias("id_b"), "gram")
+    pairs = a.join(b, "gram").where("id_a < id_b").select("id_a", "id_b").distinct()
+    left, right = v.withColumnsRenamed({"id": "id_a", "w": "w_a"}), v.withColumnsRenamed({"id": "id_b", "w": "w_b"})
+    whole = pairs.join(left, "id_a").join(right, ["id_b", "gram"])
+    return whole.groupBy("id_a", "id_b").agg(F.round(F.least(F.sum(F.col("w_a") * F.col("w_b")), F.lit(1.0)), 6).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -95,10 +106,9 @@ def representatives(routing: DataFrame, threshold: float = 0.85) -> DataFrame:
     """
     rows = _cut(sketched(routing).select("seq", "id", "kind", "name", "content_hash", "sketch"))
     alike = similar_pairs(rows, threshold).select("seq_a", "seq_b")
-    hashes = rows.select("seq", "content_hash")
-    same_hash = hashes.alias("a").join(hashes.alias("b"), F.col("a.content_hash") == F.col("b.content_hash")).where("a.seq < b.seq").select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"))
-    skills = rows.where("kind = 'skill'").select("seq", "name")
-    same_name = skills.alias("a").join(skills.alias("b"), F.col("a.name") == F.col("b.name")).where("a.seq < b.seq").select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"))
+    # of a clique, only the pairs of its first member ever tie anything: by the time of its others, all are tied
+    star = lambda df, key: df.join(df.groupBy(key).agg(F.min("seq").alias("seq_a")), key).where("seq_a < seq").select("seq_a", F.col("seq").alias("seq_b"))
+    same_hash, same_name = star(rows, "content_hash"), star(rows.where("kind = 'skill'"), "name")
     edges = _cut(alike.unionByName(same_hash).unionByName(same_name).distinct())
     groups = connected(rows.select(F.col("seq").alias("node")), edges.select(F.col("seq_a").alias("a"), F.col("seq_b").alias("b")))
 

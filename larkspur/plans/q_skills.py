@@ -96,7 +96,27 @@ def list_context_bill(spark: SparkSession, d: str) -> DataFrame:
     return R.context_bill(marked)
 
 
-@query()
+def _crc_table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+BYTES = "list_transform(range(1, 2 * strlen(s), 2), lambda i: CAST('0x' || substr(hex(encode(s)), i, 2) AS BIGINT))"
+CRC = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {BYTES}), lambda c, b: xor(c >> 8, CAST({_crc_table()} AS BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query("WITH " + A.CONTRIBUTORS + f""", w AS (SELECT seq, list_filter(regexp_split_to_array(routing_text || chr(10) || body, '[\\s]+'), lambda x: x <> '') AS ws FROM contributors WHERE kind = 'skill'),
+g AS (SELECT DISTINCT seq, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] END) AS s FROM w),
+k AS (SELECT s, {CRC} AS code FROM (SELECT DISTINCT s FROM g)), sk AS (SELECT seq, list_sort(list_distinct(list(code)))[1:128] AS codes FROM g JOIN k USING (s) GROUP BY seq),
+near AS (SELECT DISTINCT a.seq AS sa, b.seq AS sb FROM (SELECT seq, unnest(codes) AS c FROM sk) a JOIN (SELECT seq, unnest(codes) AS c FROM sk) b ON a.c = b.c AND a.seq < b.seq),
+est AS (SELECT sa, sb, list_sort(list_distinct(list_concat(a.codes, b.codes)))[1:128] AS u, a.codes AS x, b.codes AS y FROM near JOIN sk a ON a.seq = sa JOIN sk b ON b.seq = sb),
+e AS (SELECT sa, sb, len(list_intersect(list_intersect(u, x), y)) / len(u) AS estimate FROM est)
+SELECT 'near-duplicate' AS check_id, 'warning' AS severity, p.id || ',' || q.id AS contributors, least(p.name, q.name) || ',' || greatest(p.name, q.name) AS contributor_names, '' AS harnesses, CAST(round(estimate, 6) AS VARCHAR) AS detail
+FROM e JOIN contributors p ON p.seq = sa JOIN contributors q ON q.seq = sb WHERE estimate >= 0.85 AND p.content_hash <> q.content_hash""")
 def check_near_duplicate(spark: SparkSession, d: str) -> DataFrame:
     return flat(S.near_duplicate(A.contributors(spark, d)))
 
