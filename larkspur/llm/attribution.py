@@ -66,8 +66,8 @@ def attribute_tokens(sections: DataFrame, rule: str = "most", vocabulary: str =
     kind = pa.float64() if rule == "share" else pa.int64()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, size = byte_encoding(path)
-        for shard in shards(batches, "whole"):
+        for shard in shards(batches, "whole", keep="bytes"):
+            encoding, size = byte_encoding(path)
             parts = shard.column("parts").combine_chunks()
             flat = parts.flatten()
             names, texts = flat.field("section"), flat.field("text")

@@ -35,8 +35,8 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD
     path = vocabulary_path(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(path)
-        for shard in shards(batches):
+        for shard in shards(batches, keep="pieces"):
+            encoder = piece_encoder(path)
             ids, bounds = encoder.encode(*text_buffers(shard.column("text")))
             row, piece, start, length, crc = [], [], [], [], []
             end = np.array([END_ID], "<u4")

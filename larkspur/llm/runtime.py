@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -80,8 +82,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def shards(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SHARD_BYTES) -> Iterator[pa.Table]:
+#: Caches of worker processes, by use; a task drops those that it does not name.
+caches: dict[str, dict] = {}
+
+
+def shards(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SHARD_BYTES, keep: str = "") -> Iterator[pa.Table]:
     """Groups or splits Arrow batches to about `size` bytes of text; a row is never split."""
+    for use, cache in caches.items():
+        if use != keep:
+            cache.clear()
     held: list[pa.RecordBatch] = []
     got = 0
     for batch in batches:
@@ -101,6 +110,15 @@ def shards(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SH
                 held, got = [], 0
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: workers stay for later tasks, beside others'."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class KeyBitmap:

@@ -8,11 +8,12 @@ import os
 import numpy as np
 
 from . import bytesops as B
+from .runtime import caches
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 #: Pieces a worker keeps; the oldest half, which holds the frequent ones, outlives a clearing.
-CACHE = 400_000
+CACHE = 300_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -120,7 +121,7 @@ class PieceEncoder:
         return self.flat[at], total[count[offs]]
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, PieceEncoder] = caches.setdefault("pieces", {})
 
 
 def piece_encoder(path: str) -> PieceEncoder:
@@ -130,7 +131,7 @@ def piece_encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-_byte_pairs: dict[str, tuple[object, np.ndarray]] = {}
+_byte_pairs: dict[str, tuple[object, np.ndarray]] = caches.setdefault("bytes", {})
 
 
 def byte_encoding(path: str) -> tuple[object, np.ndarray]:
