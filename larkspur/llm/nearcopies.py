@@ -13,8 +13,8 @@ last with all such pairs. What is hopeful is told from a second, longer signatur
 pair is looked at in the first bucket it shares. A bucket beyond BLOCK nodes is worked on in pairs of blocks.
 
 A class is what verified links connect; its id is its least doc_id. Defined cases: a text of fewer than `shingle`
-words has one shingle, all its words; null texts and texts without words are in no class but their own; repeated rows
-share a class; null ids never name a class (a class of null ids only has a null id); other columns are ignored.
+words has one shingle, all its words; texts without words are linked to no other text, equal ones (a null text is an
+empty one) are one class like all equal texts; repeated rows share a class; null ids never name a class (a class of null ids only has a null id); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -201,9 +201,9 @@ def near_copies(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = S
 
 
 def one_of_each(docs: DataFrame, keep: tuple[str, ...], threshold: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """The columns `keep` of one row of each class, that of the least doc_id; rows without words all stay."""
+    """The columns `keep` of one row of each class, that of the least doc_id."""
     tuned(docs.sparkSession)
-    told = stored(classes(docs, threshold, shingle)).where("c is not null")
+    told = stored(classes(docs, threshold, shingle))
     best = told.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("s"))
     goes = told.join(best, "c").where(~(F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("node") == F.col("s.node")))).select("doc_id", "node").distinct()
     again = told.groupBy("doc_id", "node").count().where("count > 1").select("doc_id", "node", F.lit(False).alias("goes"))
@@ -220,10 +220,10 @@ def one_of_each(docs: DataFrame, keep: tuple[str, ...], threshold: float = SIMIL
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """doc_id, node (the text's hash), c (the class's least node, null without words), class_id, n_links of every row."""
+    """doc_id, node (the text's hash), c (the class's least node), class_id, n_links of every row."""
     spark = tuned(docs.sparkSession)
     rows = stored(sketch_texts(docs, shingle))
-    nodes = stored(rows.where("bands is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
     member = nodes.select("node", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     member = stored(member.join(shared, "key"))
@@ -249,8 +249,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHING
         label = spark.createDataFrame([], "node bigint, c bigint")
     named = nodes.select("node", "least").join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
     named_classes = named.join(named.groupBy("c").agg(F.min("least").alias("class_id")), "c").join(degree, "node", "left").select("node", "c", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    alone = rows.where("bands is null").select("doc_id", "node", F.lit(None).cast("bigint").alias("c"), F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return rows.where("bands is not null").select("node", "doc_id").join(named_classes, "node").select("doc_id", "node", "c", "class_id", "n_links").unionByName(alone)
+    return rows.select("node", "doc_id").join(named_classes, "node").select("doc_id", "node", "c", "class_id", "n_links")
 
 
 def _hopeful_pairs(member: DataFrame, sketches: DataFrame, tested: DataFrame, hopeful: float, block: int, times: int | None) -> DataFrame:

@@ -29,7 +29,7 @@ def brute(docs, threshold):
 
     for i in range(len(docs)):
         for j in range(i):
-            if bags[i] and bags[j] and ((docs[i][1] == docs[j][1]) or jaccard(bags[i], bags[j]) >= threshold):
+            if (docs[i][1] or "") == (docs[j][1] or "") or (bags[i] and bags[j] and jaccard(bags[i], bags[j]) >= threshold):
                 parent[root(i)] = root(j)
     names = {}
     for i, (d, _) in enumerate(docs):

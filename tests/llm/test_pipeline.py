@@ -1,5 +1,4 @@
 import random
-import re
 from collections import defaultdict
 
 import pytest
@@ -64,10 +63,9 @@ def test_stages_against_brute_force(spark, corpus):
     one = cp.stored(stages["near-dedup"](spark, lines, folder))
     own = [(x[0], x[1]) for x in rows(lines)]
     classes = brute_classes(own, 0.8)
-    words = lambda t: re.search(r"[a-zé0-9]", t or "", re.IGNORECASE)
-    expected = {(i, t) for (i, t), c in zip(own, classes, strict=True) if i == c or not words(t)} | {x for x in own if x[0] is None}
+    expected = {(i, t) for (i, t), c in zip(own, classes, strict=True) if i == c}
     got = [(x[0], x[1]) for x in rows(one)]
-    assert set(got) == expected and len([x for x in got if words(x[1])]) == len({x for x in got if words(x[1])})
+    assert sorted(got, key=str) == sorted(expected, key=str)
 
     clean = cp.stored(stages["benchmark decontamination"](spark, one, folder))
     texts = {x[0]: x[1] for x in rows(clean)}
