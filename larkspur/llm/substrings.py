@@ -1,7 +1,7 @@
 """Suffix-array dedup: every byte covered by a 200-byte string that also starts elsewhere is removed.
 
-1. Within each text, every window of `length` bytes elects the smallest hash among its 64-byte grams; neighbouring
-   windows of one elect form a record. Equal windows elect equal hashes, so they meet under one key, with about one
+1. Within each text, every window of `length` bytes elects the first smallest hash among its 64-byte grams;
+   neighbouring windows that elect one place form a record. Equal windows elect equal hashes, so they meet under one key, with about one
    record for 69 bytes instead of one row a byte.
 2. Keys that occur once go. A record whose whole content occurs again is repeated throughout; only one of each content
    is looked at further, so groups of copies never pile up.
@@ -58,11 +58,15 @@ def records(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
         return np.zeros(0, np.uint64), none, none, none, np.zeros(0, np.uint64)
     prefix = B.prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
-    least = sliding_min(B.mix(B.span_hash(prefix, at, at + gram)), length - gram + 1)
+    grams = B.mix(B.span_hash(prefix, at, at + gram))
+    least = sliding_min(grams, length - gram + 1)
     room = np.diff(offs) - length + 1
     rows = np.flatnonzero(room > 0)
     fresh = np.zeros(len(least) + 1, bool)
     fresh[1:-1] = least[1:] != least[:-1]
+    # where the elected gram drops out a new record begins even if an equal gram follows: windows of one record share
+    # the elected place, so no two of them can be equal, and a window that occurs twice has its hash in two records
+    fresh[1:] |= grams[: len(least)] == least
     valid = np.zeros(len(least) + 1, np.int8)
     np.add.at(valid, offs[rows], 1)
     np.add.at(valid, offs[rows] + room[rows], -1)

@@ -28,7 +28,8 @@ def texts(seed):
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 6)))
     prose = lambda n: " ".join(word() for _ in range(n))
     passage, line = prose(90), prose(30)
-    out = ["", "x" * 199, "x" * 200, "y" * 900, "ab" * 400, None, prose(3000)]
+    unit = prose(40)
+    out = [unit[:100] * 3, prose(10) + unit[:130] * 2 + unit[:90] + prose(5), unit[:230] * 2, "", "x" * 199, "x" * 200, "y" * 900, "ab" * 400, None, prose(3000)]
     for _ in range(25):
         out.append(prose(r.randint(0, 40)) + passage[r.randint(0, 120) :] + prose(r.randint(0, 40)))
         out.append(prose(20) + line + prose(30))
