@@ -116,6 +116,9 @@ def shards(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SH
 
 def give_back() -> None:
     """Returns freed memory to the system at the end of a task: workers stay for later tasks, beside others'."""
+    from . import bytesops
+
+    bytesops._powers.clear()  # rebuilt in milliseconds; a worker may wait for long beside busy ones
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)
