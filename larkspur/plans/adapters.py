@@ -237,7 +237,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    words = F.array_join(F.slice(T.tokenize(F.coalesce("text", F.lit(""))), 1, 8), " ")
+    words = F.array_join(T.tokenize(F.coalesce("text", F.lit(""))), " ")
     return b.select(F.col("item_id").alias("query_id"), words.alias("query"), F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"), F.lit("-1"))).alias("expect"))
 
 
