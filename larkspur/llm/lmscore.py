@@ -1,15 +1,18 @@
-"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, broadcast and probed level by level.
+"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts in hash-partitioned blocks, probed level by level.
 
-Counts cover every training token. The filter quantises an n-gram's relative frequency on a log scale that begins at
-TAU: n-gram x of count c >= max(1, TAU * N) enters once for each of its 1 + floor(log_BASE(c / max(1, TAU * N)))
-levels, and probing levels until the first miss gives the count back within a factor BASE. No more than 1 / TAU
-n-grams of one order can be that frequent, which bounds the filter and the word table at any corpus size, and a
-bigram can only be if both its words are, so pairs of rarer words need no counting.
+Counts cover every training token, and every bigram that occurs in training text is in the model, at any corpus size.
+The filter quantises a count on a log scale: a bigram of count c enters once for each of its
+1 + floor(log_BASE(c)) levels, and probing levels until the first miss gives the count back within a factor BASE.
 
-The model is a backing-off bigram model over unigrams smoothed by one, p1(w) = (c + 1) / (N + V + 1):
+The filter grows with the corpus, so no process holds all of it. It is cut by key hash into blocks of about
+BLOCK_ENTRIES entries, and probes are shuffled to their blocks. The most frequent part is broadcast besides, which
+changes no score: words and bigrams of count c >= TAU * N, no more than 1 / TAU of either at any size, are looked up
+where the text is read, with the levels from TAU * N upwards. All other tokens become probes.
+
+The model is a backing-off bigram model over unigrams smoothed by one, p1(w) = (c + 1) / (N + V + 1), exact:
 p(w | h) = (c(hw) - D) / c(h) if the filter holds hw, else alpha(h) * p1(w), with alpha(h) chosen so that the
-probabilities of h add up to one. The filter gives c(hw) and, for frequent words, c(w); rarer words get their exact
-counts by a join, which also completes base_score. The end of a text is a token, and the history of its first word.
+probabilities of h add up to one. Rarer words and histories get their exact counts and alpha by joins, which also
+complete base_score. The end of a text is a token, and the history of its first word.
 
 Words are told apart by 64-bit hashes. Defined cases: null counts as empty (one end token); without training rows
 every token has probability one; repeated rows each train and each get a result; null ids count as the empty text in
@@ -19,17 +22,25 @@ the fold rule; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bytesops as B
-from .runtime import ddl, shards, stored, text_buffers, text_key, tuned
+from .runtime import ddl, discard, shards, stored, text_buffers, tuned
 
+#: Share of the training tokens from which a word or bigram is broadcast.
 TAU = 2.0**-21
+#: Entries of one block of the filter, on average: 2 to 4 MB.
+BLOCK_ENTRIES = 1 << 20
+#: Rows in one Arrow batch of counts or probes.
+NARROW_ROWS = 1 << 13
 LEVEL_BASE = 1.1
 DISCOUNT = 0.75
 BITS_PER_ENTRY = 16
@@ -43,6 +54,13 @@ class LogFrequencyFilter:
         self.bits = max(10, int(entries * BITS_PER_ENTRY - 1).bit_length())
         self.table = np.zeros(1 << (self.bits - 3), np.uint8)
 
+    @classmethod
+    def of(cls, table: bytes) -> LogFrequencyFilter:
+        out = cls(1)
+        out.table = np.frombuffer(table, np.uint8)
+        out.bits = (len(table) << 3).bit_length() - 1
+        return out
+
     def _spots(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
         one = B.mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
         two = B.mix(one) | np.uint64(1)
@@ -79,17 +97,28 @@ def expected(levels: np.ndarray, floor: float) -> np.ndarray:
 
 @dataclass
 class Model:
-    """head: sorted hashes of frequent words, the end token among them; counts and alpha go with them."""
+    """head: sorted hashes of frequent words, the end token among them; counts, log_p1 and log_alpha go with them.
+
+    filter: levels of frequent bigrams of head words, counted from floor = LEVEL_BASE ** shift.
+    """
 
     total: int
     distinct: int
-    floor: float
+    shift: int
     head: np.ndarray
     counts: np.ndarray
     log_p1: np.ndarray
     log_alpha: np.ndarray
     filter: LogFrequencyFilter
 
+    @property
+    def floor(self) -> float:
+        return LEVEL_BASE**self.shift
+
+    def numbered(self, words: np.ndarray) -> np.ndarray:
+        """Whether each word of _grams is a number in head; otherwise it is a hash."""
+        return (words >= 0) & (words < len(self.head))
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word in head, or -1."""
         if not len(self.head):
@@ -119,8 +148,68 @@ def _pairs(code: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return before[at] << 32 | code[at], at
 
 
-def train(docs: DataFrame, tau: float = TAU) -> tuple[Model, DataFrame]:
-    """The model, and the exact counts (w, c) of all training words but the end token."""
+def _grams(token: np.ndarray, code: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b and whether both words are frequent, of each token's bigram: a packed pair and 0, or history and word.
+
+    There a frequent word is its number and another one its hash, which is as small by a chance of 2^-42.
+    """
+    pair, at = _pairs(code, end)
+    word = np.where(code >= 0, code, token.view(np.int64))
+    a, b = np.concatenate(([end if end >= 0 else int(END.view(np.int64))], word[:-1])), word
+    a[at], b[at] = pair, 0
+    both = np.zeros(len(token), bool)
+    both[at] = True
+    return a, b, both
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return B.mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64))
+
+
+@contextmanager
+def _narrow(spark: SparkSession) -> Iterator[None]:
+    """Larger Arrow batches for rows of a few numbers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(NARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Pieces of one block each, of batches sorted by block."""
+    for batch in batches:
+        block = batch.column(batch.schema.get_field_index("block")).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
+        yield from ((int(block[x]), batch.slice(x, y - x)) for x, y in zip(cuts, cuts[1:], strict=False) if y > x)
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, filter) of (block, key, c) sorted by block."""
+    for block, parts in groupby(_by_block(batches), lambda x: x[0]):
+        rows = pa.Table.from_batches([p for _, p in parts])
+        level = quantise(rows.column("c").to_numpy(), 1.0)
+        made = LogFrequencyFilter(int(level.sum()))
+        made.add(rows.column("key").to_numpy().view(np.uint64), level)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([made.table.tobytes()], pa.binary())], ["block", "filter"])
+
+
+def _model(docs: DataFrame, tau: float) -> tuple[Model, DataFrame, DataFrame, DataFrame, int]:
+    """The broadcast part, the exact counts (w, c) of all training words, histories, blocks and how many those are."""
+    spark = docs.sparkSession
     texts = docs.where(~held_out()).select("text")
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,52 +219,100 @@ def train(docs: DataFrame, tau: float = TAU) -> tuple[Model, DataFrame]:
 
     words = stored(texts.mapInArrow(singles, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")))
     distinct, total = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    floor = max(1.0, tau * total)
+    shift = int(np.ceil(np.log(max(1.0, tau * total)) / np.log(LEVEL_BASE)))
+    floor = LEVEL_BASE**shift
     end_code = F.lit(int(END.view(np.int64)))
     head = words.where((F.col("c") >= floor) | (F.col("w") == end_code)).toArrow()  # 1 / tau rows at most and one, since their counts add up to the total
     hashes, counts = head.column("w").to_numpy().view(np.uint64), head.column("c").to_numpy().astype(float)
     order = np.argsort(hashes)
     hashes, counts = hashes[order], counts[order]
-    model = Model(total, distinct, floor, hashes, counts, np.zeros(0), np.zeros(len(hashes)), LogFrequencyFilter(1))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    mass = float(total + distinct + 1)
+    model = Model(total, distinct, shift, hashes, counts, np.log10((counts + 1) / mass), np.zeros(len(hashes)), LogFrequencyFilter(1))
+    shared = spark.sparkContext.broadcast(model)
 
     def doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         end = int(known.find(np.array([END]))[0])
         for shard in shards(batches, size=2 << 20):
-            pair, _ = _pairs(known.find(stream(*text_buffers(shard.column("text")))[0]), end)
-            pair, count = np.unique(pair, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(count)], ["pair", "c"])
-
-    found = texts.mapInArrow(doubles, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c")).where(F.col("c") >= floor).toArrow()  # 1 / tau rows at most
-    pair, seen = found.column("pair").to_numpy(), found.column("c").to_numpy().astype(float)
-    one, two = quantise(np.maximum(counts, floor), floor), quantise(seen, floor)
-    model.filter = LogFrequencyFilter(int(one.sum() + two.sum()))
-    model.filter.add(hashes, one)
-    model.filter.add(pair.view(np.uint64), two)
-    # Unigrams come back from the filter; scaled so that frequent words keep the mass of their exact counts.
-    guess = expected(model.filter.levels(hashes), floor)
-    mass = (counts.sum() + len(counts)) / (total + distinct + 1)
-    p1 = guess * (mass / guess.sum()) if len(guess) else guess
-    history, word = pair >> 32, pair & 0xFFFFFFFF
-    used = np.maximum(expected(model.filter.levels(pair.view(np.uint64)), floor) - DISCOUNT, 1e-9) / counts[history]
-    taken, covered = np.bincount(history, used, len(counts)), np.bincount(history, p1[word], len(counts))
-    model.log_p1 = np.log10(p1)
-    model.log_alpha = np.log10(np.maximum(1 - taken, 1e-3) / np.maximum(1 - covered, 1e-3))
+            token = stream(*text_buffers(shard.column("text")))[0]
+            a, b, both = _grams(token, known.find(token), end)
+            pair, count = np.unique(a[both], return_counts=True)
+            rest = np.flatnonzero(~both)
+            _, first, times = np.unique(_key(a[rest], b[rest]), return_index=True, return_counts=True)
+            one = np.concatenate((pair, a[rest[first]]))
+            two = pa.array(np.concatenate((np.zeros(len(pair), np.int64), b[rest[first]])), mask=np.arange(len(one)) < len(pair))
+            yield pa.RecordBatch.from_arrays([pa.array(one), two, pa.array(np.concatenate((count, times)))], ["a", "b", "c"])
+
+    # b is null where a is a packed pair of frequent words
+    grams = stored(texts.mapInArrow(doubles, "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c")))
+    hot = F.col("b").isNull() & (F.col("c") >= floor)
+    found = grams.where(hot).toArrow()  # 1 / tau rows at most
+    level = quantise(found.column("c").to_numpy().astype(float), 1.0) - shift
+    model.filter = LogFrequencyFilter(int(level.sum()))
+    model.filter.add(found.column("a").to_numpy().view(np.uint64), level)
+
+    rest = grams.where(~hot).select(F.xxhash64("a", "b").alias("key"), "c")
+    entries = rest.agg(F.coalesce(F.sum(F.floor(F.log("c") / np.log(LEVEL_BASE)) + 1), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-int(entries) // BLOCK_ENTRIES))
+    keyed = rest.select(F.pmod("key", F.lit(n_blocks)).alias("block"), "key", "c")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each history: what its bigrams take, and p1 of their words; w is a rare word whose p1 is still to come."""
+        known = shared.value
+        for rows in _gathered(batches):
+            a, c = rows.column("a").to_numpy(), rows.column("c").to_numpy()
+            both = rows.column("b").is_null().to_numpy()
+            b = rows.column("b").fill_null(0).to_numpy()
+            used = np.maximum(expected(quantise(c, 1.0), 1.0) - DISCOUNT, 1e-9)
+            h = np.where(both, a >> 32, a)
+            frequent = known.numbered(h)
+            h[frequent] = known.head[h[frequent]].view(np.int64)
+            code = np.where(both, a & 0xFFFFFFFF, np.where(known.numbered(b), b, -1))
+            p1 = np.zeros(len(a))
+            p1[code >= 0] = 10 ** known.log_p1[code[code >= 0]]
+            full, part = np.flatnonzero(code >= 0), np.flatnonzero(code < 0)
+            each, back = np.unique(h[full], return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate((each, h[part]))),
+                    pa.array(np.concatenate((np.bincount(back, used[full], len(each)), used[part]))),
+                    pa.array(np.concatenate((np.bincount(back, p1[full], len(each)), p1[part]))),
+                    pa.array(np.concatenate((np.zeros(len(each), np.int64), b[part])), mask=np.arange(len(each) + len(part)) < len(each)),
+                ],
+                ["h", "used", "covered", "w"],
+            )
+
+    with _narrow(spark):
+        blocks = stored(keyed.repartition("block").sortWithinPartitions("block").mapInArrow(_build, "block bigint, filter binary"))
+        parts = stored(grams.mapInArrow(sums, "h bigint, used double, covered double, w bigint"))
+    late = parts.where("w is not null").join(words, "w").select("h", "used", ((F.col("c") + 1) / mass).alias("covered"))
+    each = parts.where("w is null").select("h", "used", "covered").unionByName(late).groupBy("h").agg(F.sum("used").alias("used"), F.sum("covered").alias("covered"))
+    low = F.lit(1e-3)
+    alpha = F.log10(F.greatest(1 - F.col("used") / F.col("c"), low) / F.greatest(1 - F.col("covered"), low))
+    histories = stored(each.join(words.withColumnRenamed("w", "h"), "h").select("h", "c", alpha.alias("log_alpha")))
+    discard(parts, grams)
+    known = histories.where((F.col("c") >= floor) | (F.col("h") == end_code)).toArrow()  # as many rows as head at most
+    model.log_alpha[model.find(known.column("h").to_numpy().view(np.uint64))] = known.column("log_alpha").to_numpy()
     shared.unpersist()
-    return model, words.where(F.col("w") != end_code)
+    return model, words, histories, blocks, n_blocks
+
+
+def train(docs: DataFrame, tau: float = TAU) -> tuple[Model, DataFrame]:
+    """The broadcast part of the model, and the exact counts (w, c) of all training words but the end token."""
+    model, words, *_ = _model(docs, tau)
+    return model, words.where(F.col("w") != F.lit(int(END.view(np.int64))))
 
 
 def score_texts(docs: DataFrame, tau: float = TAU) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; tau changes none of them."""
     spark = tuned(docs.sparkSession)
-    model, words = train(docs, tau)
+    model, words, histories, blocks, n_blocks = _model(docs, tau)
     shared = spark.sparkContext.broadcast(model)
     denominator = float(np.log10(model.total + model.distinct + 1))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row of each document (a is null) with what the broadcast part scores, and its other bigrams."""
         known = shared.value
-        exact = np.log10(known.counts + 1) - denominator
         end = int(known.find(np.array([END]))[0])
         for shard in shards(batches, size=2 << 20):
             token, row = stream(*text_buffers(shard.column("text")))
@@ -183,46 +320,108 @@ def score_texts(docs: DataFrame, tau: float = TAU) -> DataFrame:
             code = known.find(token)
             is_head = code >= 0
             base = np.zeros(len(token))
-            base[is_head] = exact[code[is_head]]
-            score = np.zeros(len(token))
-            score[is_head] = known.log_p1[code[is_head]]
-            before = np.concatenate(([end], code[:-1]))
-            if len(known.head):
-                score += np.where(before >= 0, known.log_alpha[before], 0)
-            pair, at = _pairs(code, end)
-            if len(pair):
-                distinct, back = np.unique(pair, return_inverse=True)
+            base[is_head] = known.log_p1[code[is_head]]
+            a, b, both = _grams(token, code, end)
+            score, done = np.zeros(len(token)), np.zeros(len(token), bool)
+            at = np.flatnonzero(both)
+            if len(at):
+                distinct, back = np.unique(a[at], return_inverse=True)
                 level = known.filter.levels(distinct.view(np.uint64))
                 value = np.log10(np.maximum(expected(np.maximum(level, 1), known.floor) - DISCOUNT, 1e-9) / known.counts[distinct >> 32])
                 held = level[back] > 0
+                done[at[held]] = True
                 score[at[held]] = np.minimum(value[back[held]], 0)
-            rare = np.flatnonzero(~is_head & (token != END))
-            names, keys = shard.column("doc_id").combine_chunks(), shard.column("tk").combine_chunks()
+            names, keys = shard.column("doc_id").combine_chunks(), shard.column("doc").combine_chunks()
             none = pa.nulls(n, pa.int64())
             sums = [np.bincount(row, x, n) for x in (np.ones(len(token)), is_head, base, score)]
-            yield from pa.table({"doc_id": names, "tk": keys, "w": none, "n": pa.array(sums[0].astype(np.int64)), "known": pa.array(sums[1].astype(np.int64)), "base": sums[2], "score": sums[3]}).to_batches()
-            if len(rare):
-                order = np.lexsort((token[rare], row[rare]))
-                r, t = row[rare][order], token[rare][order]
-                first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (t[1:] != t[:-1]))))
-                pick = pa.array(r[first])
+            yield from pa.table({"doc_id": names, "doc": keys, "a": none, "b": none, "n": pa.array(sums[0].astype(np.int64)), "known": pa.array(sums[1].astype(np.int64)), "base": sums[2], "score": sums[3]}).to_batches()
+            rest = np.flatnonzero(~done)
+            if len(rest):
+                key = _key(a[rest], b[rest])
+                order = np.lexsort((key, row[rest]))
+                key, rest = key[order], rest[order]
+                r = row[rest]
+                first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (key[1:] != key[:-1]))))
+                pick, times = rest[first], np.diff(np.append(first, len(r)))
                 gone = pa.nulls(len(first), pa.float64())
                 yield from pa.table(
-                    {"doc_id": names.take(pick), "tk": keys.take(pick), "w": pa.array(t[first].view(np.int64)), "n": pa.array(np.diff(np.append(first, len(r)))), "known": pa.nulls(len(first), pa.int64()), "base": gone, "score": gone}
+                    {"doc_id": pa.nulls(len(first), names.type), "doc": keys.take(pa.array(r[first])), "a": pa.array(a[pick]), "b": pa.array(b[pick], mask=both[pick]), "n": pa.array(times), "known": pa.nulls(len(first), pa.int64()), "base": gone, "score": gone}
                 ).to_batches()
 
-    keyed = docs.select("doc_id", text_key(), "text")
-    rows = stored(keyed.mapInArrow(local, f"{ddl(docs, ['doc_id'])}, tk bigint, w bigint, n bigint, known bigint, base double, score double"))
-    counted = rows.where("w is not null").select("doc_id", "tk", "w", "n").join(words, "w", "left")
-    rare = counted.groupBy("doc_id", "tk").agg(
-        F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - F.lit(denominator))).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen")
-    )
-    frequent = rows.where("w is null").groupBy("doc_id", "tk").agg(F.count("*").alias("times"), *(F.max(c).alias(c) for c in ("n", "known", "base", "score")))
-    right = rare.select(F.col("doc_id").alias("v"), F.col("tk").alias("vk"), "rare", "seen")
-    joined = frequent.join(right, frequent["doc_id"].eqNullSafe(F.col("v")) & (F.col("tk") == F.col("vk")), "left")
-    rest = F.coalesce(F.col("rare") / F.col("times"), F.lit(0.0))  # rows of equal id and text put theirs together
-    out = joined.select(
-        "doc_id", held_out().alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce(F.expr("seen div times"), F.lit(0))).alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"),
-        (F.col("base") + rest + F.lit(0.0)).alias("base_score"), (F.col("score") + rest).alias("score"), F.explode(F.expr("sequence(1, int(times))")).alias("copy"),
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One block: its filter and its probes, which wait for it. Bigrams of two frequent words leave as sums by
+        document; others with h and w where these are rare, and the part of the score that needs no join."""
+        known = shared.value
+        held, waiting = None, []
+
+        def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            doc, times, a = (rows.column(c).to_numpy() for c in ("doc", "n", "a"))
+            b, both = rows.column("b").fill_null(0).to_numpy(), rows.column("b").is_null().to_numpy()
+            level = held.levels(rows.column("key").to_numpy().view(np.uint64)) if held is not None else np.zeros(len(a), np.int64)
+            seen = np.log10(np.maximum(expected(np.maximum(level, 1), 1.0) - DISCOUNT, 1e-9))
+            h, w = a[both] >> 32, a[both] & 0xFFFFFFFF
+            value = np.where(level[both] > 0, np.minimum(seen[both] - np.log10(known.counts[h]), 0), known.log_alpha[h] + known.log_p1[w])
+            each, back = np.unique(doc[both], return_inverse=True)
+            yield from put(len(each), None, each, score=np.bincount(back, value * times[both], len(each)))
+            a, b, level, seen = a[~both], b[~both], level[~both], seen[~both]
+            one, two = known.numbered(a), known.numbered(b)
+            at, to = np.where(one, a, 0), np.where(two, b, 0)
+            if len(known.head):
+                seen = np.where(one, np.minimum(seen - np.log10(known.counts[at]), 0), seen)
+                back_off = np.where(one, known.log_alpha[at], 0) + np.where(two, known.log_p1[to], 0)
+            else:
+                back_off = np.zeros(len(a))
+            yield from put(len(a), None, doc[~both], times=times[~both], h=pa.array(a, mask=one), w=pa.array(b, mask=two), held=level > 0, part=np.where(level > 0, seen, back_off))
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            table = rows.column("filter").drop_null()
+            if len(table):
+                held = LogFrequencyFilter.of(table[0].as_py())
+                rows = rows.filter(rows.column("filter").is_null())
+            own = rows.filter(rows.column("a").is_null())
+            yield from put(own.num_rows, own.column("doc_id"), own.column("doc"), n=own.column("n"), known=own.column("known"), base=own.column("base"), score=own.column("score"))
+            waiting.append(rows.filter(rows.column("a").is_valid()).select(["key", "doc", "n", "a", "b"]))
+            if held is not None and sum(t.num_rows for t in waiting) >= 1 << 18:
+                yield from settle(pa.concat_tables(waiting))
+                waiting.clear()
+        if waiting:
+            yield from settle(pa.concat_tables(waiting))
+
+    numbers = {"n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "times": pa.int64(), "h": pa.int64(), "w": pa.int64(), "held": pa.bool_(), "part": pa.float64()}
+    id_ddl, id_arrow = ddl(docs, ["doc_id"]), to_arrow_type(docs.schema["doc_id"].dataType)
+
+    def put(size: int, names: pa.ChunkedArray | None, doc: np.ndarray | pa.ChunkedArray, **columns) -> Iterator[pa.RecordBatch]:  # noqa: ANN003
+        if size:
+            full = {"doc_id": pa.nulls(size, id_arrow) if names is None else names, "doc": doc}
+            yield from pa.table(full | {c: columns.get(c, pa.nulls(size, t)) for c, t in numbers.items()}).to_batches()
+
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("doc"), "text").mapInArrow(local, f"{id_ddl}, doc bigint, a bigint, b bigint, n bigint, known bigint, base double, score double")
+    # Key and block are found again after the shuffle: a row of a number, a pair and zeros is small when compressed.
+    key = F.when(F.col("a").isNull(), F.xxhash64("doc")).otherwise(F.xxhash64("a", "b"))
+    block = F.coalesce("block", F.pmod(key, F.lit(n_blocks))).cast("int")
+    sent = rows.unionByName(blocks, allowMissingColumns=True).repartitionById(n_blocks, block)
+    with _narrow(spark):
+        probed = stored(
+            sent.select("doc_id", "doc", "a", "b", "n", "known", "base", "score", "filter", key.alias("key"))
+            .mapInArrow(probe, f"{id_ddl}, doc bigint, n bigint, known bigint, base double, score double, times bigint, h bigint, w bigint, held boolean, part double")
+        )
+    discard(blocks)
+    # A null key would bring all its rows to one task; the document's hash stands in, and what it finds is not used.
+    other = F.xxhash64("doc")
+    rare = probed.where("times is not null").join(words.select(F.col("w").alias("jw"), F.col("c").alias("wc")), F.coalesce("w", other) == F.col("jw"), "left")
+    rare = rare.join(histories.select(F.col("h").alias("jh"), F.col("c").alias("jc"), "log_alpha"), F.coalesce("h", other) == F.col("jh"), "left")
+    lone = F.log10(F.coalesce("wc", F.lit(0)) + 1.0) - F.lit(denominator)
+    is_w, is_h = F.col("w").isNotNull(), F.col("h").isNotNull()
+    least = F.least(F.col("part") - F.log10("jc"), F.lit(0.0))
+    back_off = F.col("part") + F.when(is_h, F.coalesce("log_alpha", F.lit(0.0))).otherwise(0.0) + F.when(is_w, lone).otherwise(0.0)
+    value = F.when(F.col("held") & is_h & F.col("jc").isNotNull(), least).when(F.col("held") & ~is_h, F.col("part")).when(F.col("held"), lone).otherwise(back_off)
+    times = F.col("times")
+    tail = rare.select("doc", F.when(is_w & (F.col("wc") > 0), times).alias("known"), F.when(is_w, times * lone).alias("base"), (times * value).alias("score"))
+    near = probed.where("times is null").select("doc_id", "doc", "n", "known", "base", "score")
+    sums = (F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "known", "base", "score"))
+    summed = near.unionByName(tail, allowMissingColumns=True).groupBy("doc").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), *sums)
+    return summed.select(
+        "doc_id", held_out().alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.lit(0.0)).alias("base_score"), (F.col("score") + F.lit(0.0)).alias("score"),
     )
-    return out.drop("copy")

@@ -53,6 +53,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more, and the shuffle files of what wrote them."""
+    for df in tables:
+        files = df.inputFiles()
+        for entry in [x for x in _written if files and x[1].rsplit("/", 1)[1] in files[0]]:
+            spark, path = entry
+            _written.remove(entry)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            spark.sparkContext._jvm.System.gc()  # Spark deletes shuffles when their plans are collected
+
+
 def release() -> None:
     """Deletes the tables that stored() has written; call it when their results are no longer read."""
     while _written:

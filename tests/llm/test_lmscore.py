@@ -74,3 +74,32 @@ def test_model_beats_the_base_on_held_out_text(spark):
     docs = spark.createDataFrame([(i, " ".join(f"a{(i + k) % 50}" for k in range(100))) for i in range(150)], "doc_id bigint, text string")
     got = score_texts(docs).where("held_out").collect()
     assert got and all(r.score > r.base_score for r in got)
+
+
+def brute_scores(data):
+    """Scores of a model that has every training bigram, without false positives of the filter."""
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    train = [tokens(x) for i, x in data if not held(i)]
+    one, two = Counter(t for x in train for t in x), Counter(p for x in train for p in zip([None, *x], x))
+    mass = sum(one.values()) + len(one) + 1
+    p1 = lambda w: (one[w] + 1) / mass
+    mean = lambda c: float(expected(quantise(np.array([c]), 1.0), 1.0)[0]) - lmscore.DISCOUNT
+    used, covered = Counter(), Counter()
+    for (h, w), c in two.items():
+        used[h] += mean(c) / one[h]
+        covered[h] += p1(w)
+    alpha = {h: max(1 - used[h], 1e-3) / max(1 - covered[h], 1e-3) for h in used}
+    p = lambda h, w: min(mean(two[h, w]) / one[h], 1) if two[h, w] else alpha.get(h, 1) * p1(w)
+    texts = [tokens(x) for _, x in data]
+    return [sum(math.log10(p(h, w)) for h, w in zip([None, *t], t)) for t in texts]
+
+
+def test_every_bigram_counts_whatever_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "BLOCK_ENTRIES", 200)  # many blocks
+    data = [(i, x) for i, x in rows(3) if i is not None and i != 5]
+    docs, want = spark.createDataFrame(data, "doc_id bigint, text string"), {i: s for (i, _), s in zip(data, brute_scores(data), strict=True)}
+    for tau in (1.0, 1 / 300, 1 / 5000):  # nothing but ends, some words, all words
+        got = {r.doc_id: r.score for r in score_texts(docs, tau=tau).collect()}
+        assert got.keys() == want.keys()
+        off = [abs(got[i] - want[i]) / max(1, -want[i]) for i in want]
+        assert np.mean(np.array(off) < 1e-6) > 0.75 and np.mean(off) < 0.01  # the rest has false positives
