@@ -196,8 +196,8 @@ def long_sketches(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), n_links (verified links of its text to other texts) of every row."""
-    return classes(docs, threshold, shingle, block).select("doc_id", "class_id", "n_links")
+    """doc_id, class_id (the least doc_id of the class) of every row."""
+    return classes(docs, threshold, shingle, block).select("doc_id", "class_id")
 
 
 def one_of_each(docs: DataFrame, keep: tuple[str, ...], threshold: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -220,7 +220,7 @@ def one_of_each(docs: DataFrame, keep: tuple[str, ...], threshold: float = SIMIL
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """doc_id, node (the text's hash), c (the class's least node), class_id, n_links of every row."""
+    """doc_id, node (the text's hash), c (the class's least node), class_id of every row."""
     spark = tuned(docs.sparkSession)
     rows = stored(sketch_texts(docs, shingle))
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
@@ -244,12 +244,11 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHING
             links = links.unionByName(found)
             label = components(links).select(F.col("u").alias("node"), F.col("v").alias("c"))
         tested = tested.unionByName(fresh)
-    degree = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     if label is None:
         label = spark.createDataFrame([], "node bigint, c bigint")
     named = nodes.select("node", "least").join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    named_classes = named.join(named.groupBy("c").agg(F.min("least").alias("class_id")), "c").join(degree, "node", "left").select("node", "c", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.select("node", "doc_id").join(named_classes, "node").select("doc_id", "node", "c", "class_id", "n_links")
+    named_classes = named.join(named.groupBy("c").agg(F.min("least").alias("class_id")), "c").select("node", "c", "class_id")
+    return rows.select("node", "doc_id").join(named_classes, "node").select("doc_id", "node", "c", "class_id")
 
 
 def _hopeful_pairs(member: DataFrame, sketches: DataFrame, tested: DataFrame, hopeful: float, block: int, times: int | None) -> DataFrame:

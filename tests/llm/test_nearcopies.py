@@ -85,3 +85,10 @@ def test_shingles_count_repeats():
     raw = b"a b a b a b a b"
     _, _, count = shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 2)
     assert sorted(count.tolist()) == [3, 4]
+
+
+def test_no_count_of_the_forest_edges_is_returned(spark):
+    base = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*base, f"x{i}"])) for i in range(5)], "doc_id bigint, text string")
+    got = near_copies(docs)  # only some links of a class of five are tested, so their number says nothing
+    assert got.columns == ["doc_id", "class_id"] and {tuple(r) for r in got.collect()} == {(i, 0) for i in range(5)}
