@@ -76,12 +76,15 @@ def price_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> Cou
     return out
 
 
-def linear_program(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, eps: float = 0.15) -> list[tuple[Counter, float]]:
-    """Fractional numbers of configurations that cover the demand about once, by multiplicative weights."""
+def linear_program(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int | None, eps: float = 0.15) -> list[tuple[Counter, float]]:
+    """Fractional numbers of configurations that cover the demand about once, by multiplicative weights.
+
+    Every round covers one more length at least, so it ends with all covered if rounds is None.
+    """
     weight = (lengths / capacity) ** 1.1  # nearly a feasible dual; of two full configurations the one of longer pieces wins
     covered = np.zeros(len(lengths))
     found: dict[tuple, float] = {}
-    for _ in range(rounds):
+    for _ in range(len(lengths) if rounds is None else rounds):
         live = covered < 1
         if not live.any():
             break
@@ -98,7 +101,7 @@ def linear_program(lengths: np.ndarray, demand: np.ndarray, capacity: int, round
     return [(Counter(dict(k)), v) for k, v in found.items()]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> list[tuple[Pattern, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[Pattern, int]]:
     """Configurations ((length, count), ...), longest first, and how many sequences use each; they hold every piece once."""
     rest = {k: v for k, v in histogram.items() if v > 0}
     out: list[tuple[Pattern, int]] = []

@@ -1,11 +1,12 @@
 import zlib
 from collections import defaultdict
+from inspect import signature
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm.packing import Slots, best_fit, pack, plan
+from larkspur.llm.packing import Slots, best_fit, linear_program, pack, plan
 from larkspur.llm.tokenise import PieceEncoder, vocabulary_path
 
 
@@ -77,3 +78,13 @@ def test_pack_against_the_tokenizer(spark):
 
 def test_pack_of_nothing(spark):
     assert pack(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_the_program_covers_every_length_of_a_wide_histogram():
+    lengths = np.arange(1, 1101)
+    demand = lengths * 7919 % 400 + 1
+    covered = np.zeros(len(lengths))
+    for pattern, times in linear_program(lengths, demand, 2048, signature(plan).parameters["rounds"].default):
+        for k, n in pattern.items():
+            covered[k] += times * n / demand[k]
+    assert (covered > 1 - 1e-9).all()
