@@ -1,9 +1,9 @@
-"""Line dedup: winnowing over line hashes, positions joined by fingerprint, later repeated runs deleted.
+"""Line dedup: whole-unit hashes, with winnowing over line hashes as a prefilter, later repeated runs deleted.
 
 The lines of a text are its non-blank lines, stripped of ASCII white space at both ends. A unit is `window` lines in
 a row, or one line of at least `long_words` words. A unit that equals an earlier one (in order of doc_id, then text
-hash, then line) is repeated, and its lines are deleted; units that follow each other make one run, so a match is
-extended both ways as far as it holds. What is deleted is judged on the input.
+hash, then line) is repeated, and its lines are deleted; units that follow each other make one run; no match
+is extended. What is deleted is judged on the input.
 
 Winnowing elects the smallest line hash of each unit, so every repeated run of `window` lines shares a fingerprint
 with its first occurrence. Only fingerprints that occur again are joined; their units are then matched by a 128-bit
