@@ -1,7 +1,9 @@
-"""Vectorised work on UTF-8 bytes: words, polynomial hashes, mixing."""
+"""Vectorised work on UTF-8 bytes: words, their hashes, polynomial hashes, mixing."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Odd multiplier of the polynomial hashes, its inverse modulo 2^64.
@@ -69,10 +71,41 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = WORD) -> tuple[
     return low, start, end, np.searchsorted(offs, start, "right") - 1
 
 
+#: Words beyond these bytes are hashed one by one.
+LONG_WORD = 256
+
+
+def _chained(windows: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int, odd: int) -> np.ndarray:
+    """Eight bytes at a time, each mixed in before the next: not a polynomial, so no family of words collides by form."""
+    h = mix(size.astype(np.uint64) * np.uint64(odd) + np.uint64(seed))
+    live, at, left = np.arange(len(start)), start, size
+    while len(live):
+        chunk = windows[at]
+        short = np.flatnonzero(left < 8)
+        chunk[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+        h[live] = mix((h[live] ^ chunk) * np.uint64(odd))
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
+
+
+def word_codes(low: np.ndarray, start: np.ndarray, end: np.ndarray, halves: int = 2) -> list[np.ndarray]:
+    """`halves` independent 64-bit hashes of each word."""
+    padded = np.concatenate((low, np.zeros(8, np.uint8)))
+    windows = np.ndarray((len(low) + 1,), "<u8", padded.data, 0, (1,))
+    size = end - start
+    long = np.flatnonzero(size > LONG_WORD)
+    brief = np.where(size > LONG_WORD, 0, size)
+    out = [_chained(windows, start, brief, seed, odd) for seed, odd in ((0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15), (0x632BE59BD9B4E019, 0xD6E8FEB86659FD93))[:halves]]
+    for i in long.tolist():
+        digest = hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=16).digest()
+        for k, h in enumerate(out):
+            h[i] = np.frombuffer(digest, "<u8")[k]
+    return out
+
+
 def word_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    return mix(span_hash(prefix_hash(low), start, end))
+    return word_codes(low, start, end, 1)[0]
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

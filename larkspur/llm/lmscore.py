@@ -1,77 +1,99 @@
-"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts in hash-partitioned blocks, probed level by level.
-
-Counts cover every training token, and every bigram that occurs in training text is in the model, at any corpus size.
-The filter quantises a count on a log scale: a bigram of count c enters once for each of its
-1 + floor(log_BASE(c)) levels, and probing levels until the first miss gives the count back within a factor BASE.
-
-The filter grows with the corpus, so no process holds all of it. It is cut by key hash into blocks of about
-BLOCK_ENTRIES entries, and probes are shuffled to their blocks. The most frequent part is broadcast besides, which
-changes no score: words and bigrams of count c >= TAU * N, no more than 1 / TAU of either at any size, are looked up
-where the text is read, with the levels from TAU * N upwards. All other tokens become probes.
-
-The model is a backing-off bigram model over unigrams smoothed by one, p1(w) = (c + 1) / (N + V + 1), exact:
-p(w | h) = (c(hw) - D) / c(h) if the filter holds hw, else alpha(h) * p1(w), with alpha(h) chosen so that the
-probabilities of h add up to one. Rarer words and histories get their exact counts and alpha by joins, which also
-complete base_score. The end of a text is a token, and the history of its first word.
-
-Words are told apart by 64-bit hashes. Defined cases: null counts as empty (one end token); without training rows
-every token has probability one; repeated rows each train and each get a result; null ids count as the empty text in
-the fold rule; other columns are ignored.
+"""LM scoring: a log-frequency Bloom filter of quantised bigram counts in hash-partitioned blocks, probed level by level.
+
+Counts cover every training token, and every bigram that occurs in training text is in the filter, at any corpus size.
+A count is quantised on a scale that is exact up to ten and then grows by a tenth a step; a bigram enters the filter
+once for each level up to its own, and probing levels until the first miss gives the count back.
+
+The filter grows with the corpus, so it has no bound under which it could be broadcast. It is cut by bigram hash into
+blocks of BLOCK_BYTES of text each, and probes travel to the blocks instead: documents are gathered into packs, a pack
+asks each block once for the distinct bigrams that fall there (sorted, differences only, compressed), and the answers,
+one byte a bigram, return to the pack. The exact counts of words are asked for in the same way. A hot word or bigram is
+one entry of each pack. In the limit of very many packs and blocks a request is one bigram, never less.
+
+The model is a bigram model with Dirichlet smoothing over unigrams that are smoothed by one:
+p1(w) = (c(w) + 1) / (N + V + 1), p(w | h) = (c(hw) + MU * p1(w)) / (c(h) + MU), which adds up to one over all words
+and one unseen word but for quantisation and the filter's false positives. The end of a text is a token, and the
+history of its first word.
+
+Words are told apart by 128 bits. Defined cases: null counts as empty (one end token); without training rows every
+token has probability one; repeated rows each train and each get a result; null ids count as the empty text in the
+fold rule; other columns are ignored; a text of any length is one row of one pack.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bytesops as B
-from .runtime import ddl, discard, shards, stored, text_buffers, tuned
-
-#: Share of the training tokens from which a word or bigram is broadcast.
-TAU = 2.0**-21
-#: Entries of one block of the filter, on average: 2 to 4 MB.
-BLOCK_ENTRIES = 1 << 20
-#: Rows in one Arrow batch of counts or probes.
-NARROW_ROWS = 1 << 13
+from .runtime import discard, shards, stored, text_buffers, tuned
+
+#: Bytes of text in a pack; its distinct words and bigrams are asked for together.
+PACK_BYTES = 6 << 20
+#: Bytes of text for each block of the filter: some 2 million bigrams, a filter of 3 to 5 MB.
+BLOCK_BYTES = 16 << 20
 LEVEL_BASE = 1.1
-DISCOUNT = 0.75
 BITS_PER_ENTRY = 16
 PROBES = 4
+#: Weight of the unigram part, in tokens.
+MU = 4.0
 #: Stands for the end of a text among word hashes.
-END = np.uint64(0x5BD1E9955BD1E995)
+END = (np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5))
+
+
+def level_bounds(most: int = 1 << 62) -> np.ndarray:
+    """Least count of each level."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, int(np.ceil(out[-1] * LEVEL_BASE))))
+    return np.array(out, np.int64)
+
+
+BOUNDS = level_bounds()
+
+
+def quantise(counts: np.ndarray) -> np.ndarray:
+    """Level of each count, from 1; 0 for nought."""
+    return np.searchsorted(BOUNDS, counts, "right")
+
+
+def expected(levels: np.ndarray) -> np.ndarray:
+    """The mean of a level's counts; 0 for level 0."""
+    ends = np.append(BOUNDS[1:], BOUNDS[-1] + 1)
+    return np.concatenate(([0.0], (BOUNDS + (ends - 1)) / 2))[levels]
 
 
 class LogFrequencyFilter:
     def __init__(self, entries: int):
-        self.bits = max(10, int(entries * BITS_PER_ENTRY - 1).bit_length())
-        self.table = np.zeros(1 << (self.bits - 3), np.uint8)
+        self.table = np.zeros(-(-max(entries * BITS_PER_ENTRY, 1024) // 8), np.uint8)
 
     @classmethod
     def of(cls, table: bytes) -> LogFrequencyFilter:
         out = cls(1)
         out.table = np.frombuffer(table, np.uint8)
-        out.bits = (len(table) << 3).bit_length() - 1
         return out
 
     def _spots(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        bits = np.uint64(len(self.table) * 8)
         one = B.mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
         two = B.mix(one) | np.uint64(1)
         for _ in range(PROBES):
-            yield one >> np.uint64(64 - self.bits)
+            yield one % bits
             one = one + two
 
     def add(self, keys: np.ndarray, levels: np.ndarray) -> None:
+        flat = np.unpackbits(self.table, bitorder="little")
         for level in range(1, int(levels.max(initial=0)) + 1):
             for spot in self._spots(keys[levels >= level], level):
-                np.bitwise_or.at(self.table, spot >> np.uint64(3), np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8))
+                flat[spot] = 1
+        self.table = np.packbits(flat, bitorder="little")
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
@@ -86,342 +108,257 @@ class LogFrequencyFilter:
         return out
 
 
-def quantise(counts: np.ndarray, floor: float) -> np.ndarray:
-    return 1 + np.floor(np.log(counts / floor) / np.log(LEVEL_BASE) + 1e-9).astype(np.int64)
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers of one width, byte by byte of each, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes(), codec="zstd", asbytes=True) if len(numbers) else b""
 
 
-def expected(levels: np.ndarray, floor: float) -> np.ndarray:
-    """The mean count at a level; levels from 1."""
-    return floor * LEVEL_BASE ** (levels - 1.0) * (LEVEL_BASE - 1) / np.log(LEVEL_BASE)
+def unplaned(raw: bytes, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    flat = np.frombuffer(pa.decompress(raw, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, n).T).reshape(-1).view(kind)
 
 
-@dataclass
-class Model:
-    """head: sorted hashes of frequent words, the end token among them; counts, log_p1 and log_alpha go with them.
+def rising(numbers: np.ndarray) -> bytes:
+    """Sorted unsigned numbers as differences."""
+    return planes(np.diff(numbers, prepend=numbers.dtype.type(0)))
 
-    filter: levels of frequent bigrams of head words, counted from floor = LEVEL_BASE ** shift.
-    """
 
-    total: int
-    distinct: int
-    shift: int
-    head: np.ndarray
-    counts: np.ndarray
-    log_p1: np.ndarray
-    log_alpha: np.ndarray
-    filter: LogFrequencyFilter
-
-    @property
-    def floor(self) -> float:
-        return LEVEL_BASE**self.shift
-
-    def numbered(self, words: np.ndarray) -> np.ndarray:
-        """Whether each word of _grams is a number in head; otherwise it is a hash."""
-        return (words >= 0) & (words < len(self.head))
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each word in head, or -1."""
-        if not len(self.head):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
-        return np.where(self.head[at] == hashes, at, -1)
-
-
-def stream(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts with END after each, and the row of each token."""
-    low, start, end, row = B.words(data, offs, B.SOLID)
-    n = len(offs) - 1
-    out = np.full(len(start) + n, END)
-    out[np.arange(len(start)) + row] = B.word_hashes(low, start, end)
-    return out, np.repeat(np.arange(n), np.bincount(row, minlength=n) + 1)
+def risen(raw: bytes, kind: str, n: int) -> np.ndarray:
+    return np.cumsum(unplaned(raw, kind, n), dtype=kind)
 
 
-def held_out(column: str = "doc_id") -> F.Column:
-    """Whether crc32 of the id as text leaves 2 modulo 7."""
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 7 == 2
+def narrowest(numbers: np.ndarray) -> np.ndarray:
+    """Counts in one, four or eight bytes each."""
+    most = int(numbers.max(initial=0))
+    return numbers.astype(np.uint8 if most < 1 << 8 else "<u4" if most < 1 << 32 else "<u8")
 
 
-def _pairs(code: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed (history, word) numbers of the tokens whose two words are frequent, and which tokens those are."""
-    before = np.concatenate(([end], code[:-1]))  # the token before a text's first word is an end
-    at = np.flatnonzero((before >= 0) & (code >= 0))
-    return before[at] << 32 | code[at], at
+KINDS = {1: "u1", 4: "<u4", 8: "<u8"}
 
 
-def _grams(token: np.ndarray, code: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """a, b and whether both words are frequent, of each token's bigram: a packed pair and 0, or history and word.
+class Tokens:
+    """The tokens of some texts: their distinct words and bigrams, and which of them each token is.
 
-    There a frequent word is its number and another one its hash, which is as small by a chance of 2^-42.
+    Words are sorted by their hash halves, bigrams by block and fingerprint; both orders depend on the texts only.
     """
-    pair, at = _pairs(code, end)
-    word = np.where(code >= 0, code, token.view(np.int64))
-    a, b = np.concatenate(([end if end >= 0 else int(END.view(np.int64))], word[:-1])), word
-    a[at], b[at] = pair, 0
-    both = np.zeros(len(token), bool)
-    both[at] = True
-    return a, b, both
 
+    def __init__(self, data: np.ndarray, offs: np.ndarray, blocks: int):
+        low, start, end, row = B.words(data, offs, B.SOLID)
+        n = len(offs) - 1
+        self.row = np.repeat(np.arange(n), np.bincount(row, minlength=n) + 1)
+        one, two = (np.full(len(start) + n, e) for e in END)
+        at = np.arange(len(start)) + row
+        one[at], two[at] = B.word_codes(low, start, end)
+        self.one, first, self.word = np.unique(one, return_index=True, return_inverse=True)
+        self.two = two[first]
+        if (self.two[self.word] != two).any():  # words that share a half: sort by both
+            order = np.lexsort((two, one))
+            fresh = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
+            self.word = np.empty(len(one), np.int64)
+            self.word[order] = np.cumsum(fresh) - 1
+            self.one, self.two = one[order][fresh], two[order][fresh]
+        ends = np.flatnonzero((self.one == END[0]) & (self.two == END[1]))
+        self.before = np.concatenate((ends[:1], self.word[:-1]))  # the token before a text's first word is an end
+        both = B.mix(self.one * np.uint64(0xD1342543DE82EF95) ^ self.two)
+        key = B.mix(both[self.before] * np.uint64(0x9E3779B97F4A7C15) + both[self.word])
+        # the block, then 32 bits that name the bigram inside it: a clash there is a false positive of the filter
+        code = (key >> np.uint64(32)) * np.uint64(blocks) & np.uint64(0xFFFFFFFF00000000) | key & np.uint64(0xFFFFFFFF)
+        self.code, self.pair = np.unique(code, return_inverse=True)
+        self.blocks = blocks
+
+    def requests(self, counts: bool) -> Iterator[dict]:
+        """One for each block that any word or bigram falls in; word blocks are numbered after those of bigrams."""
+        block = (self.code >> np.uint64(32)).astype(np.int64)
+        times = np.bincount(self.pair, minlength=len(self.code))
+        for a, b in _stretches(block):
+            yield {"block": int(block[a]), "n": b - a, "keys": rising(self.code[a:b].astype(np.uint32)), "other": b"", "counts": planes(times[a:b].astype("<u4")) if counts else b""}
+        block = word_block(self.one, self.blocks)
+        times = np.bincount(self.word, minlength=len(self.one))
+        for a, b in _stretches(block):
+            yield {"block": self.blocks + int(block[a]), "n": b - a, "keys": rising(self.one[a:b]), "other": planes(self.two[a:b]), "counts": planes(times[a:b].astype("<u4")) if counts else b""}
+
+
+def word_block(one: np.ndarray, blocks: int) -> np.ndarray:
+    return ((one >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+
+
+def _stretches(block: np.ndarray) -> Iterator[tuple[int, int]]:
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+
+
+REQUEST = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("other", pa.binary()), ("counts", pa.binary())])
+REQUEST_DDL = "block bigint, n bigint, keys binary, other binary, counts binary"
 
-def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return B.mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64))
 
-
-@contextmanager
-def _narrow(spark: SparkSession) -> Iterator[None]:
-    """Larger Arrow batches for rows of a few numbers."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(NARROW_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def held_out(column: str = "doc_id") -> F.Column:
+    """Whether crc32 of the id as text leaves 2 modulo 7."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[pa.Table]:
-    held: list[pa.RecordBatch] = []
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
-            yield pa.Table.from_batches(held)
-            held = []
-    if held:
-        yield pa.Table.from_batches(held)
+        for i in range(batch.num_rows):
+            yield {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
+
+
+def _summed(rows: list[dict], bigrams: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Distinct keys (and other halves) of a block's requests and the sums of their counts."""
+    one = np.concatenate([risen(r["keys"], "<u4" if bigrams else "<u8", r["n"]) for r in rows])
+    count = np.concatenate([unplaned(r["counts"], "<u4", r["n"]) for r in rows]).astype(np.int64)
+    two = None if bigrams else np.concatenate([unplaned(r["other"], "<u8", r["n"]) for r in rows])
+    order = np.argsort(one, kind="stable") if bigrams else np.lexsort((two, one))
+    one, count = one[order], count[order]
+    fresh = np.ones(len(one), bool)
+    fresh[1:] = one[1:] != one[:-1]
+    if two is not None:
+        two = two[order]
+        fresh[1:] |= two[1:] != two[:-1]
+        two = two[fresh]
+    return one[fresh], two, np.add.reduceat(count, np.flatnonzero(fresh))
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Pieces of one block each, of batches sorted by block."""
-    for batch in batches:
-        block = batch.column(batch.schema.get_field_index("block")).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
-        yield from ((int(block[x]), batch.slice(x, y - x)) for x, y in zip(cuts, cuts[1:], strict=False) if y > x)
-
-
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, filter) of (block, key, c) sorted by block."""
-    for block, parts in groupby(_by_block(batches), lambda x: x[0]):
-        rows = pa.Table.from_batches([p for _, p in parts])
-        level = quantise(rows.column("c").to_numpy(), 1.0)
-        made = LogFrequencyFilter(int(level.sum()))
-        made.add(rows.column("key").to_numpy().view(np.uint64), level)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([made.table.tobytes()], pa.binary())], ["block", "filter"])
-
-
-def _model(docs: DataFrame, tau: float) -> tuple[Model, DataFrame, DataFrame, DataFrame, int]:
-    """The broadcast part, the exact counts (w, c) of all training words, histories, blocks and how many those are."""
-    spark = docs.sparkSession
-    texts = docs.where(~held_out()).select("text")
-
-    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, size=2 << 20):
-            word, count = np.unique(stream(*text_buffers(shard.column("text")))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["w", "c"])
-
-    words = stored(texts.mapInArrow(singles, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")))
-    distinct, total = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    shift = int(np.ceil(np.log(max(1.0, tau * total)) / np.log(LEVEL_BASE)))
-    floor = LEVEL_BASE**shift
-    end_code = F.lit(int(END.view(np.int64)))
-    head = words.where((F.col("c") >= floor) | (F.col("w") == end_code)).toArrow()  # 1 / tau rows at most and one, since their counts add up to the total
-    hashes, counts = head.column("w").to_numpy().view(np.uint64), head.column("c").to_numpy().astype(float)
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    mass = float(total + distinct + 1)
-    model = Model(total, distinct, shift, hashes, counts, np.log10((counts + 1) / mass), np.zeros(len(hashes)), LogFrequencyFilter(1))
-    shared = spark.sparkContext.broadcast(model)
-
-    def doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        end = int(known.find(np.array([END]))[0])
-        for shard in shards(batches, size=2 << 20):
-            token = stream(*text_buffers(shard.column("text")))[0]
-            a, b, both = _grams(token, known.find(token), end)
-            pair, count = np.unique(a[both], return_counts=True)
-            rest = np.flatnonzero(~both)
-            _, first, times = np.unique(_key(a[rest], b[rest]), return_index=True, return_counts=True)
-            one = np.concatenate((pair, a[rest[first]]))
-            two = pa.array(np.concatenate((np.zeros(len(pair), np.int64), b[rest[first]])), mask=np.arange(len(one)) < len(pair))
-            yield pa.RecordBatch.from_arrays([pa.array(one), two, pa.array(np.concatenate((count, times)))], ["a", "b", "c"])
-
-    # b is null where a is a packed pair of frequent words
-    grams = stored(texts.mapInArrow(doubles, "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c")))
-    hot = F.col("b").isNull() & (F.col("c") >= floor)
-    found = grams.where(hot).toArrow()  # 1 / tau rows at most
-    level = quantise(found.column("c").to_numpy().astype(float), 1.0) - shift
-    model.filter = LogFrequencyFilter(int(level.sum()))
-    model.filter.add(found.column("a").to_numpy().view(np.uint64), level)
-
-    rest = grams.where(~hot).select(F.xxhash64("a", "b").alias("key"), "c")
-    entries = rest.agg(F.coalesce(F.sum(F.floor(F.log("c") / np.log(LEVEL_BASE)) + 1), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-int(entries) // BLOCK_ENTRIES))
-    keyed = rest.select(F.pmod("key", F.lit(n_blocks)).alias("block"), "key", "c")
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each history: what its bigrams take, and p1 of their words; w is a rare word whose p1 is still to come."""
-        known = shared.value
-        for rows in _gathered(batches):
-            a, c = rows.column("a").to_numpy(), rows.column("c").to_numpy()
-            both = rows.column("b").is_null().to_numpy()
-            b = rows.column("b").fill_null(0).to_numpy()
-            used = np.maximum(expected(quantise(c, 1.0), 1.0) - DISCOUNT, 1e-9)
-            h = np.where(both, a >> 32, a)
-            frequent = known.numbered(h)
-            h[frequent] = known.head[h[frequent]].view(np.int64)
-            code = np.where(both, a & 0xFFFFFFFF, np.where(known.numbered(b), b, -1))
-            p1 = np.zeros(len(a))
-            p1[code >= 0] = 10 ** known.log_p1[code[code >= 0]]
-            full, part = np.flatnonzero(code >= 0), np.flatnonzero(code < 0)
-            each, back = np.unique(h[full], return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((each, h[part]))),
-                    pa.array(np.concatenate((np.bincount(back, used[full], len(each)), used[part]))),
-                    pa.array(np.concatenate((np.bincount(back, p1[full], len(each)), p1[part]))),
-                    pa.array(np.concatenate((np.zeros(len(each), np.int64), b[part])), mask=np.arange(len(each) + len(part)) < len(each)),
-                ],
-                ["h", "used", "covered", "w"],
-            )
-
-    with _narrow(spark):
-        blocks = stored(keyed.repartition("block").sortWithinPartitions("block").mapInArrow(_build, "block bigint, filter binary"))
-        parts = stored(grams.mapInArrow(sums, "h bigint, used double, covered double, w bigint"))
-    late = parts.where("w is not null").join(words, "w").select("h", "used", ((F.col("c") + 1) / mass).alias("covered"))
-    each = parts.where("w is null").select("h", "used", "covered").unionByName(late).groupBy("h").agg(F.sum("used").alias("used"), F.sum("covered").alias("covered"))
-    low = F.lit(1e-3)
-    alpha = F.log10(F.greatest(1 - F.col("used") / F.col("c"), low) / F.greatest(1 - F.col("covered"), low))
-    histories = stored(each.join(words.withColumnRenamed("w", "h"), "h").select("h", "c", alpha.alias("log_alpha")))
-    discard(parts, grams)
-    known = histories.where((F.col("c") >= floor) | (F.col("h") == end_code)).toArrow()  # as many rows as head at most
-    model.log_alpha[model.find(known.column("h").to_numpy().view(np.uint64))] = known.column("log_alpha").to_numpy()
-    shared.unpersist()
-    return model, words, histories, blocks, n_blocks
-
-
-def train(docs: DataFrame, tau: float = TAU) -> tuple[Model, DataFrame]:
-    """The broadcast part of the model, and the exact counts (w, c) of all training words but the end token."""
-    model, words, *_ = _model(docs, tau)
-    return model, words.where(F.col("w") != F.lit(int(END.view(np.int64))))
-
-
-def score_texts(docs: DataFrame, tau: float = TAU) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; tau changes none of them."""
-    spark = tuned(docs.sparkSession)
-    model, words, histories, blocks, n_blocks = _model(docs, tau)
-    shared = spark.sparkContext.broadcast(model)
-    denominator = float(np.log10(model.total + model.distinct + 1))
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of each document (a is null) with what the broadcast part scores, and its other bigrams."""
-        known = shared.value
-        end = int(known.find(np.array([END]))[0])
-        for shard in shards(batches, size=2 << 20):
-            token, row = stream(*text_buffers(shard.column("text")))
-            n = shard.num_rows
-            code = known.find(token)
-            is_head = code >= 0
-            base = np.zeros(len(token))
-            base[is_head] = known.log_p1[code[is_head]]
-            a, b, both = _grams(token, code, end)
-            score, done = np.zeros(len(token)), np.zeros(len(token), bool)
-            at = np.flatnonzero(both)
-            if len(at):
-                distinct, back = np.unique(a[at], return_inverse=True)
-                level = known.filter.levels(distinct.view(np.uint64))
-                value = np.log10(np.maximum(expected(np.maximum(level, 1), known.floor) - DISCOUNT, 1e-9) / known.counts[distinct >> 32])
-                held = level[back] > 0
-                done[at[held]] = True
-                score[at[held]] = np.minimum(value[back[held]], 0)
-            names, keys = shard.column("doc_id").combine_chunks(), shard.column("doc").combine_chunks()
-            none = pa.nulls(n, pa.int64())
-            sums = [np.bincount(row, x, n) for x in (np.ones(len(token)), is_head, base, score)]
-            yield from pa.table({"doc_id": names, "doc": keys, "a": none, "b": none, "n": pa.array(sums[0].astype(np.int64)), "known": pa.array(sums[1].astype(np.int64)), "base": sums[2], "score": sums[3]}).to_batches()
-            rest = np.flatnonzero(~done)
-            if len(rest):
-                key = _key(a[rest], b[rest])
-                order = np.lexsort((key, row[rest]))
-                key, rest = key[order], rest[order]
-                r = row[rest]
-                first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (key[1:] != key[:-1]))))
-                pick, times = rest[first], np.diff(np.append(first, len(r)))
-                gone = pa.nulls(len(first), pa.float64())
-                yield from pa.table(
-                    {"doc_id": pa.nulls(len(first), names.type), "doc": keys.take(pa.array(r[first])), "a": pa.array(a[pick]), "b": pa.array(b[pick], mask=both[pick]), "n": pa.array(times), "known": pa.nulls(len(first), pa.int64()), "base": gone, "score": gone}
-                ).to_batches()
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One block: its filter and its probes, which wait for it. Bigrams of two frequent words leave as sums by
-        document; others with h and w where these are rare, and the part of the score that needs no join."""
-        known = shared.value
-        held, waiting = None, []
-
-        def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            doc, times, a = (rows.column(c).to_numpy() for c in ("doc", "n", "a"))
-            b, both = rows.column("b").fill_null(0).to_numpy(), rows.column("b").is_null().to_numpy()
-            level = held.levels(rows.column("key").to_numpy().view(np.uint64)) if held is not None else np.zeros(len(a), np.int64)
-            seen = np.log10(np.maximum(expected(np.maximum(level, 1), 1.0) - DISCOUNT, 1e-9))
-            h, w = a[both] >> 32, a[both] & 0xFFFFFFFF
-            value = np.where(level[both] > 0, np.minimum(seen[both] - np.log10(known.counts[h]), 0), known.log_alpha[h] + known.log_p1[w])
-            each, back = np.unique(doc[both], return_inverse=True)
-            yield from put(len(each), None, each, score=np.bincount(back, value * times[both], len(each)))
-            a, b, level, seen = a[~both], b[~both], level[~both], seen[~both]
-            one, two = known.numbered(a), known.numbered(b)
-            at, to = np.where(one, a, 0), np.where(two, b, 0)
-            if len(known.head):
-                seen = np.where(one, np.minimum(seen - np.log10(known.counts[at]), 0), seen)
-                back_off = np.where(one, known.log_alpha[at], 0) + np.where(two, known.log_p1[to], 0)
-            else:
-                back_off = np.zeros(len(a))
-            yield from put(len(a), None, doc[~both], times=times[~both], h=pa.array(a, mask=one), w=pa.array(b, mask=two), held=level > 0, part=np.where(level > 0, seen, back_off))
+@dataclass
+class Model:
+    """parts: the filter (keys) of each block of bigrams; sorted halves and counts of the words of each word block."""
 
+    blocks: int
+    total: int
+    distinct: int
+    parts: DataFrame
+
+
+def train(docs: DataFrame) -> Model:
+    """Counts of all words and bigrams of the rows that are not held out."""
+    tuned(docs.sparkSession)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // BLOCK_BYTES))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, size=PACK_BYTES):
+            own = Tokens(*text_buffers(shard.column("text")), blocks)
+            yield pa.RecordBatch.from_pylist(list(own.requests(True)), REQUEST)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in groupby(_rows(batches), lambda r: r["block"]):
+            one, two, count = _summed(list(rows), block < blocks)
+            if two is None:
+                level = quantise(count)
+                made = LogFrequencyFilter(int(level.sum()))
+                made.add(one, level)
+                out = {"keys": made.table.tobytes(), "other": b"", "counts": b""}
+            else:
+                out = {"keys": rising(one), "other": planes(two), "counts": planes(count.astype("<u8"))}
+            yield pa.RecordBatch.from_pylist([{"block": block, "n": len(one), "total": 0 if two is None else int(count.sum())} | out], REQUEST.append(pa.field("total", pa.int64())))
+
+    counted = docs.where(~held_out()).select("text").mapInArrow(count, REQUEST_DDL)
+    parts = stored(counted.repartition("block").sortWithinPartitions("block").mapInArrow(build, REQUEST_DDL + ", total bigint"))
+    zero = F.lit(0).cast("bigint")
+    distinct, total = parts.where(F.col("block") >= blocks).agg(F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("total"), zero)).first()
+    return Model(blocks, total, distinct, parts)
+
+
+def _packs(docs: DataFrame) -> DataFrame:
+    """pack, and of all its rows ids, sizes of texts (bytes) and body (the texts, compressed)."""
+    kind = docs.schema["doc_id"].dataType
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for k, shard in enumerate(shards(batches, size=PACK_BYTES)):
+            data, offs = text_buffers(shard.column("text"))
+            body = pa.compress(data.tobytes(), codec="zstd", asbytes=True) if len(data) else b""
+            ids = pa.ListArray.from_arrays(pa.array([0, shard.num_rows], pa.int32()), shard.column("doc_id").combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k]), ids, pa.array([np.diff(offs).astype("<i8").tobytes()]), pa.array([body])], ["pack", "ids", "sizes", "body"])
+
+    return stored(docs.select("doc_id", "text").mapInArrow(work, f"pack bigint, ids array<{kind.simpleString()}>, sizes binary, body binary"))
+
+
+def _texts(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    offs = np.concatenate(([0], np.cumsum(np.frombuffer(row["sizes"], "<i8"))))
+    raw = pa.decompress(row["body"], decompressed_size=int(offs[-1]), codec="zstd", asbytes=True) if offs[-1] else b""
+    return np.frombuffer(raw, np.uint8), offs
+
+
+def score_texts(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    tuned(docs.sparkSession)
+    model = model or train(docs)
+    blocks, mass, total = model.blocks, float(model.total + model.distinct + 1), int(model.total)
+    packs = _packs(docs)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            asked = [r | {"pack": row["pack"]} for r in Tokens(*_texts(row), blocks).requests(False)]
+            yield pa.RecordBatch.from_pylist(asked, REQUEST.append(pa.field("pack", pa.int64())))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one block: what the model has of it comes first, then each pack's request."""
+        held: tuple = (None,)
+        for r in _rows(batches):
+            block, n = r["block"], r["n"]
+            if r["pack"] is None:
+                if block < blocks:
+                    held = (block, LogFrequencyFilter.of(r["keys"]))
+                else:
+                    held = (block, risen(r["keys"], "<u8", n), unplaned(r["other"], "<u8", n), unplaned(r["counts"], "<u8", n).astype(np.int64))
+                continue
+            if held[0] != block:
+                found = np.zeros(n, np.int64)
+            elif block < blocks:
+                found = held[1].levels(risen(r["keys"], "<u4", n))
+            else:
+                found = _looked_up(risen(r["keys"], "<u8", n), unplaned(r["other"], "<u8", n), *held[1:])
+            small = narrowest(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r["pack"]]), pa.array([block]), pa.array([small.dtype.itemsize]), pa.array([n]), pa.array([planes(small)])], ["pack", "block", "width", "n", "found"])
+
+    asked = packs.select("pack", "sizes", "body").mapInArrow(ask, REQUEST_DDL + ", pack bigint")
+    met = model.parts.drop("total").unionByName(asked, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "pack")
+    answers = stored(met.mapInArrow(answer, "pack bigint, block bigint, width bigint, n bigint, found binary"))
+    discard(model.parts)
+    kind = docs.schema["doc_id"].dataType
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one pack: the answers by block, then its texts."""
+        found: list[tuple[int, np.ndarray]] = []
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            table = rows.column("filter").drop_null()
-            if len(table):
-                held = LogFrequencyFilter.of(table[0].as_py())
-                rows = rows.filter(rows.column("filter").is_null())
-            own = rows.filter(rows.column("a").is_null())
-            yield from put(own.num_rows, own.column("doc_id"), own.column("doc"), n=own.column("n"), known=own.column("known"), base=own.column("base"), score=own.column("score"))
-            waiting.append(rows.filter(rows.column("a").is_valid()).select(["key", "doc", "n", "a", "b"]))
-            if held is not None and sum(t.num_rows for t in waiting) >= 1 << 18:
-                yield from settle(pa.concat_tables(waiting))
-                waiting.clear()
-        if waiting:
-            yield from settle(pa.concat_tables(waiting))
-
-    numbers = {"n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "times": pa.int64(), "h": pa.int64(), "w": pa.int64(), "held": pa.bool_(), "part": pa.float64()}
-    id_ddl, id_arrow = ddl(docs, ["doc_id"]), to_arrow_type(docs.schema["doc_id"].dataType)
-
-    def put(size: int, names: pa.ChunkedArray | None, doc: np.ndarray | pa.ChunkedArray, **columns) -> Iterator[pa.RecordBatch]:  # noqa: ANN003
-        if size:
-            full = {"doc_id": pa.nulls(size, id_arrow) if names is None else names, "doc": doc}
-            yield from pa.table(full | {c: columns.get(c, pa.nulls(size, t)) for c, t in numbers.items()}).to_batches()
-
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("doc"), "text").mapInArrow(local, f"{id_ddl}, doc bigint, a bigint, b bigint, n bigint, known bigint, base double, score double")
-    # Key and block are found again after the shuffle: a row of a number, a pair and zeros is small when compressed.
-    key = F.when(F.col("a").isNull(), F.xxhash64("doc")).otherwise(F.xxhash64("a", "b"))
-    block = F.coalesce("block", F.pmod(key, F.lit(n_blocks))).cast("int")
-    sent = rows.unionByName(blocks, allowMissingColumns=True).repartitionById(n_blocks, block)
-    with _narrow(spark):
-        probed = stored(
-            sent.select("doc_id", "doc", "a", "b", "n", "known", "base", "score", "filter", key.alias("key"))
-            .mapInArrow(probe, f"{id_ddl}, doc bigint, n bigint, known bigint, base double, score double, times bigint, h bigint, w bigint, held boolean, part double")
-        )
-    discard(blocks)
-    # A null key would bring all its rows to one task; the document's hash stands in, and what it finds is not used.
-    other = F.xxhash64("doc")
-    rare = probed.where("times is not null").join(words.select(F.col("w").alias("jw"), F.col("c").alias("wc")), F.coalesce("w", other) == F.col("jw"), "left")
-    rare = rare.join(histories.select(F.col("h").alias("jh"), F.col("c").alias("jc"), "log_alpha"), F.coalesce("h", other) == F.col("jh"), "left")
-    lone = F.log10(F.coalesce("wc", F.lit(0)) + 1.0) - F.lit(denominator)
-    is_w, is_h = F.col("w").isNotNull(), F.col("h").isNotNull()
-    least = F.least(F.col("part") - F.log10("jc"), F.lit(0.0))
-    back_off = F.col("part") + F.when(is_h, F.coalesce("log_alpha", F.lit(0.0))).otherwise(0.0) + F.when(is_w, lone).otherwise(0.0)
-    value = F.when(F.col("held") & is_h & F.col("jc").isNotNull(), least).when(F.col("held") & ~is_h, F.col("part")).when(F.col("held"), lone).otherwise(back_off)
-    times = F.col("times")
-    tail = rare.select("doc", F.when(is_w & (F.col("wc") > 0), times).alias("known"), F.when(is_w, times * lone).alias("base"), (times * value).alias("score"))
-    near = probed.where("times is null").select("doc_id", "doc", "n", "known", "base", "score")
-    sums = (F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "known", "base", "score"))
-    summed = near.unionByName(tail, allowMissingColumns=True).groupBy("doc").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), *sums)
-    return summed.select(
-        "doc_id", held_out().alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.lit(0.0)).alias("base_score"), (F.col("score") + F.lit(0.0)).alias("score"),
-    )
+            for i, r in enumerate(_rows([batch.drop_columns(["ids"])])):
+                if r["sizes"] is None:
+                    found.append((r["block"], unplaned(r["found"], KINDS[r["width"]], r["n"]).astype(np.int64)))
+                    continue
+                own = Tokens(*_texts(r), blocks)
+                level = np.concatenate([x for b, x in found if b < blocks])
+                count = np.concatenate([x for b, x in found if b >= blocks])
+                found = []
+                if len(level) != len(own.code) or len(count) != len(own.one):
+                    raise RuntimeError("the answers to a pack are not those to its texts")
+                p1 = (count + 1) / mass
+                lone, known = np.log10(p1), count > 0
+                seen = expected(level)[own.pair]
+                value = np.log10(np.minimum((seen + MU * p1[own.word]) / (count[own.before] + MU), 1.0))
+                n = len(r["sizes"]) // 8
+                sums = [np.bincount(own.row, x, n) for x in (np.ones(len(own.row)), known[own.word], lone[own.word], value)]
+                yield pa.RecordBatch.from_arrays([batch.column("ids")[i].values, *(pa.array(x.astype(np.int64)) for x in sums[:2]), *(pa.array(x + 0.0) for x in sums[2:])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    # an answer's block is below the place of the pack's own row
+    last = packs.withColumn("block", F.lit(2 * blocks).cast("bigint"))
+    joined = answers.unionByName(last, allowMissingColumns=True).repartition("pack").sortWithinPartitions("pack", "block")
+    scored = joined.mapInArrow(settle, f"doc_id {kind.simpleString()}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def _looked_up(one: np.ndarray, two: np.ndarray, have_one: np.ndarray, have_two: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Count of each asked word among sorted ones, 0 where it is not there."""
+    at = np.searchsorted(have_one, one)
+    out = np.zeros(len(one), np.int64)
+    live = np.arange(len(one))
+    while len(live):  # more than one step only where words share a half
+        live = live[at[live] < len(have_one)]
+        live = live[have_one[at[live]] == one[live]]
+        same = have_two[at[live]] == two[live]
+        out[live[same]] = counts[at[live[same]]]
+        live = live[~same]
+        at[live] += 1
+    return out

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from larkspur.session import prepare
 
-#: Rows in one Arrow batch; keeps a batch of very long texts inside a worker's memory.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch; a batch of very long texts stays inside a worker's memory.
+BATCH_ROWS = 4096
+BATCH_BYTES = 4 << 20
 #: Bytes of text that a Python worker works on at once.
 SHARD_BYTES = 1 << 20
 
@@ -26,6 +27,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 def tuned(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return prepare(spark)
 
 
