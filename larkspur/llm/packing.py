@@ -1,9 +1,10 @@
 """Best-fit packing: a configuration linear program over the length histogram, planned on the driver.
 
 Workers tokenise and cut; only the histogram (at most `capacity` bins) reaches the driver. There multiplicative
-weights price the lengths, a knapsack dynamic program finds the best configuration at those prices, and the
-accumulated fractional solution is rounded down; what is left is packed by best fit, still as counts. The plan, a few
-entries for each length, goes back to the workers, which place piece number r of a length by interval lookup.
+weights price the lengths, which also bounds every packing from below; a knapsack dynamic program at those prices
+gives the configurations, whose fractional numbers cover the histogram and are rounded; best fit, still on counts,
+packs what rounding leaves. The plan, a few entries for each length, goes back to the workers, which place piece
+number r of a length by interval lookup. If plain best fit needs fewer sequences, its plan is taken.
 
 Defined cases: null and empty texts are the single closing token; a text is cut only if it is longer than a sequence;
 repeated rows are each placed; null ids are placed too; an empty table gives no rows; other columns are ignored.
@@ -11,6 +12,7 @@ repeated rows are each placed; null ids are placed too; an empty table gives no
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -53,57 +55,117 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def price_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> Counter:
-    """The configuration of most value: unbounded knapsack by dynamic programming over the room."""
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Most value for each room, and the length taken last for it (-1: as for a room less by one)."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1)
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for room in range(int(lengths[0]), capacity + 1):
-        fits = np.searchsorted(lengths, room, "right")
-        value = best[room - lengths[:fits]] + prices[:fits]
-        k = int(value.argmax())
-        if value[k] > best[room - 1]:
+        n = fitting[room]
+        value = best[room - lengths[:n]] + prices[:n]
+        k = value.argmax()
+        if value[k] > best[room - 1] + 1e-12:
             best[room], took[room] = value[k], k
         else:
             best[room] = best[room - 1]
-    out: Counter = Counter()
-    room = capacity
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-            continue
-        out[int(took[room])] += 1
-        room -= int(lengths[took[room]])
-    return out
+    return best, took
+
+
+def completed(lengths: np.ndarray, took: np.ndarray, capacity: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each length of `own` the best configuration that holds it: parallel arrays of configuration, length, count."""
+    last = np.maximum.accumulate(np.where(took >= 0, np.arange(len(took)), 0))
+    parts, rooms, live = [np.stack((np.arange(len(own)), own))], last[capacity - lengths[own]], np.arange(len(own))
+    while len(live):
+        live = live[took[rooms[live]] >= 0]
+        k = took[rooms[live]]
+        parts.append(np.stack((live, k)))
+        rooms[live] = last[rooms[live] - lengths[k]]
+    code, count = np.unique(np.concatenate(parts, axis=1).T @ np.array([len(lengths), 1]), return_counts=True)
+    return code // len(lengths), code % len(lengths), count
+
+
+def weighted_prices(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 24, eps: float = 0.3, near: float = 0.02) -> tuple[np.ndarray, float]:
+    """Prices of the lengths and the number of sequences that no packing can be under, by multiplicative weights.
+
+    A round takes, for each length, the best configuration that holds it, if that is within `near` of the best of all;
+    lengths that those cover more than others get cheaper. Prices over the best configuration's value are a feasible
+    dual, so each round gives a bound; the round of the highest bound decides.
+    """
+    price = lengths / capacity
+    kept, bound = price, 0.0
+    for _ in range(rounds):
+        best, took = knapsack(lengths, price, capacity)
+        top = best[capacity]
+        if (price @ demand) / top > bound:
+            kept, bound = price / top, float(price @ demand / top)
+        own = np.flatnonzero(price + best[capacity - lengths] >= (1 - near) * top)
+        which, k, count = completed(lengths, took, capacity, own)
+        step = np.full(len(own), np.inf)
+        np.minimum.at(step, which, demand[k] / count)
+        gain = np.bincount(k, count * step[which], len(lengths)) / demand
+        price = price * (1 - eps) ** (gain / gain.max())
+    return kept, bound
 
 
-def linear_program(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int | None, eps: float = 0.15) -> list[tuple[Counter, float]]:
-    """Fractional numbers of configurations that cover the demand about once, by multiplicative weights.
+def linear_program(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int | None = None, near: float = 0.01, weights: bool = True) -> list[tuple[Counter, float]]:
+    """Fractional numbers of configurations that cover the demand exactly.
 
-    Every round covers one more length at least, so it ends with all covered if rounds is None.
+    Configurations come from the knapsack program over what is not covered yet, at the prices of multiplicative
+    weights (without `weights` at those of the lengths alone): one for each length, longest first, each filled with the
+    longest of the lengths that lose next to nothing. How far the sum is from weighted_prices' bound is the gap.
     """
-    weight = (lengths / capacity) ** 1.1  # nearly a feasible dual; of two full configurations the one of longer pieces wins
-    covered = np.zeros(len(lengths))
-    found: dict[tuple, float] = {}
-    for _ in range(len(lengths) if rounds is None else rounds):
-        live = covered < 1
-        if not live.any():
+    price = lengths / capacity
+    if weights:
+        price, _ = weighted_prices(lengths, demand, capacity, **({} if rounds is None else {"rounds": rounds}))
+    price = price * (lengths / capacity) ** 0.03  # of two full configurations the one of longer pieces wins
+    rest = demand.astype(float)
+    out: list[tuple[Counter, float]] = []
+    while (live := np.flatnonzero(rest > 1e-9)).size:
+        size, value = lengths[live], price[live]
+        best, _ = knapsack(size, value, capacity)
+        least = (1 - near) * best[capacity]
+        whole = value + best[capacity - size] >= least
+        before = len(out)
+        for full in (True, False):  # where no full configuration is left, the lengths that are left stand as they can
+            for i in np.flatnonzero(whole | (not full))[::-1].tolist():
+                if rest[live[i]] <= 1e-9:
+                    continue
+                held = _filled(i, size, value, best, rest[live], demand[live], capacity, near * best[capacity] / 4)
+                if full and sum(value[k] * n for k, n in held.items()) < least:
+                    continue
+                step = min(rest[live[k]] / n for k, n in held.items())
+                for k, n in held.items():
+                    rest[live[k]] -= step * n
+                out.append((Counter({int(live[k]): n for k, n in held.items()}), step))
+            if len(out) > before:
+                break
+    return out
+
+
+def _filled(first: int, size: np.ndarray, value: np.ndarray, best: np.ndarray, rest: np.ndarray, demand: np.ndarray, capacity: int, slack: float) -> Counter:
+    """A configuration that holds one piece of length number `first`; no length more often than there are pieces."""
+    held, room = Counter([first]), capacity - int(size[first])
+    while room >= size[0]:
+        n = int(np.searchsorted(size, room, "right"))
+        free = rest[:n] > 1e-9
+        for k, c in held.items():
+            if k < n and c >= demand[k]:
+                free[k] = False
+        good = np.flatnonzero((best[room - size[:n]] + value[:n] >= best[room] - slack) & free)
+        if not len(good):
             break
-        pattern = price_pattern(lengths[live], weight[live], capacity)
-        back = np.flatnonzero(live)
-        used = {int(back[k]): min(n, int(demand[back[k]])) for k, n in pattern.items()}
-        step = min(max(0.05, 1 - covered[k]) * demand[k] / n for k, n in used.items())
-        for k, n in used.items():
-            gain = step * n / demand[k]
-            covered[k] += gain
-            weight[k] *= (1 - eps) ** gain
-        key = tuple(sorted(used.items()))
-        found[key] = found.get(key, 0) + step
-    return [(Counter(dict(k)), v) for k, v in found.items()]
+        held[int(good[-1])] += 1
+        room -= int(size[good[-1]])
+    return held
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[Pattern, int]]:
-    """Configurations ((length, count), ...), longest first, and how many sequences use each; they hold every piece once."""
-    rest = {k: v for k, v in histogram.items() if v > 0}
+    """Configurations ((length, count), ...), longest first, and how many sequences use each; they hold every piece once.
+
+    The rounded program with best fit of what it leaves, or plain best fit where that needs fewer sequences.
+    """
+    whole = {k: v for k, v in histogram.items() if v > 0}
+    rest = dict(whole)
     out: list[tuple[Pattern, int]] = []
     if capacity in rest:
         out.append((((capacity, 1),), rest.pop(capacity)))
@@ -111,14 +173,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None
         lengths = np.array(sorted(rest))
         demand = np.array([rest[int(x)] for x in lengths])
         for pattern, times in sorted(linear_program(lengths, demand, capacity, rounds), key=lambda x: -x[1]):
-            if sum(int(lengths[k]) * c for k, c in pattern.items()) < 0.99 * capacity:
-                continue  # its pieces fill other sequences better
-            n = min([max(1, int(times)), *(rest[int(lengths[k])] // c for k, c in pattern.items())])
+            n = min([math.ceil(times - 1e-9), *(rest[int(lengths[k])] // c for k, c in pattern.items())])
             if n > 0:
                 for k, c in pattern.items():
                     rest[int(lengths[k])] -= n * c
                 out.append((tuple((int(lengths[k]), c) for k, c in sorted(pattern.items(), reverse=True)), n))
-    return best_fit(rest, capacity, out)
+    mixed, plain = best_fit(rest, capacity, out), best_fit(whole, capacity)
+    return mixed if sum(n for _, n in mixed) <= sum(n for _, n in plain) else plain
 
 
 def best_fit(rest: dict[int, int], capacity: int, begun: list[tuple[Pattern, int]] | tuple = ()) -> list[tuple[Pattern, int]]:

@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm.packing import Slots, best_fit, linear_program, pack, plan
+from larkspur.llm.packing import Slots, best_fit, linear_program, pack, plan, weighted_prices
 from larkspur.llm.tokenise import PieceEncoder, vocabulary_path
 
 
@@ -80,6 +80,51 @@ def test_pack_of_nothing(spark):
     assert pack(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
 
+def sequences(plans):
+    return sum(n for _, n in plans)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
+def test_plan_never_needs_more_than_best_fit(histogram):
+    assert sequences(plan(histogram, 64)) <= sequences(best_fit(dict(histogram), 64))
+
+
+def test_a_histogram_that_greedy_rounding_lost():
+    assert sequences(plan({24: 4, 11: 2, 4: 1, 5: 2, 33: 5}, 64)) == 5
+
+
+def lognormal(n, mean, spread, seed=1):
+    sizes = np.minimum(np.maximum(np.random.default_rng(seed).lognormal(mean, spread, n).astype(int), 1), 2047)
+    return np.unique(sizes, return_counts=True)
+
+
+def test_the_program_is_near_its_bound_and_does_the_packing():
+    lengths, demand = lognormal(60_000, 5.8, 0.9)
+    prices, bound = weighted_prices(lengths, demand, 2048)
+    whole = linear_program(lengths, demand, 2048)
+    assert bound * (1 - 1e-9) <= sum(x for _, x in whole) <= 1.002 * bound
+    rounded = sum(int(x) for _, x in whole)
+    plans = plan(dict(zip(lengths.tolist(), demand.tolist(), strict=True)))
+    assert rounded > 0.85 * sequences(plans) and sequences(plans) <= 1.002 * bound + 1
+    # a feasible dual: no configuration is worth more than one
+    for k in np.random.default_rng(2).integers(0, len(lengths), (300, 12)):
+        own = k[np.cumsum(lengths[k]) <= 2048]
+        assert prices[own].sum() <= 1 + 1e-9
+
+
+def test_the_weights_matter():
+    """By length alone, fewer sequences seem enough than these lengths can ever be put into."""
+    lengths, demand = np.array([700, 1100, 1400]), np.array([1000, 1000, 1000])
+    plain = (lengths / 2048 * demand).sum()
+    _, bound = weighted_prices(lengths, demand, 2048)
+    assert bound > 1.15 * plain
+    wide, many = np.unique(np.random.default_rng(1).integers(700, 2047, 20_000), return_counts=True)
+    assert weighted_prices(wide, many, 2048)[1] > 1.08 * (wide / 2048 * many).sum()
+    tight = np.array([8, 22, 39, 47, 59]), np.array([1, 34, 36, 27, 45])
+    assert sum(x for _, x in linear_program(*tight, 64)) < sum(x for _, x in linear_program(*tight, 64, weights=False)) - 30
+
+
 def test_the_program_covers_every_length_of_a_wide_histogram():
     lengths = np.arange(1, 1101)
     demand = lengths * 7919 % 400 + 1
