@@ -199,6 +199,12 @@ def held_out(column: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+def _by_block(rows: DataFrame, blocks: int) -> DataFrame:
+    """Blocks dealt out in turn: as many to each partition, give or take one."""
+    n = max(1, min(2 * blocks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartitionById(n, F.pmod("block", F.lit(n)).cast("int"))
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -255,7 +261,7 @@ def train(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_pylist([{"block": block, "n": len(one), "total": 0 if two is None else int(count.sum())} | out], REQUEST.append(pa.field("total", pa.int64())))
 
     counted = docs.where(~held_out()).select("text").mapInArrow(count, REQUEST_DDL)
-    parts = stored(counted.repartition("block").sortWithinPartitions("block").mapInArrow(build, REQUEST_DDL + ", total bigint"))
+    parts = stored(_by_block(counted, blocks).sortWithinPartitions("block").mapInArrow(build, REQUEST_DDL + ", total bigint"))
     zero = F.lit(0).cast("bigint")
     distinct, total = parts.where(F.col("block") >= blocks).agg(F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("total"), zero)).first()
     return Model(blocks, total, distinct, parts)
@@ -315,7 +321,8 @@ def score_texts(docs: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r["pack"]]), pa.array([block]), pa.array([small.dtype.itemsize]), pa.array([n]), pa.array([planes(small)])], ["pack", "block", "width", "n", "found"])
 
     asked = packs.select("pack", "sizes", "body").mapInArrow(ask, REQUEST_DDL + ", pack bigint")
-    met = model.parts.drop("total").unionByName(asked, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "pack")
+    met = model.parts.drop("total").unionByName(asked, allowMissingColumns=True)
+    met = _by_block(met, blocks).sortWithinPartitions("block", "pack")
     answers = stored(met.mapInArrow(answer, "pack bigint, block bigint, width bigint, n bigint, found binary"))
     discard(model.parts)
     kind = docs.schema["doc_id"].dataType
