@@ -1,17 +1,21 @@
-"""Line dedup: whole-unit hashes, with winnowing over line hashes as a prefilter, later repeated runs deleted.
+"""Line dedup: winnowed line fingerprints, positions joined by them, matches extended both ways, later runs deleted.
 
-The lines of a text are its non-blank lines, stripped of ASCII white space at both ends. A unit is `window` lines in
-a row, or one line of at least `long_words` words. A unit that equals an earlier one (in order of doc_id, then text
-hash, then line) is repeated, and its lines are deleted; units that follow each other make one run; no match
-is extended. What is deleted is judged on the input.
+The lines of a text are its non-blank lines, stripped of ASCII white space at both ends. Winnowing selects the smallest
+line hash of every `window` lines in a row (the leftmost of equal ones), so any `window` lines that occur twice have a
+selected position in common; a line of at least `long_words` words is always selected. Only selected positions leave
+the task, each with what extends it: the hash of the lines before and after it inside each window that it was selected
+for. Positions are joined by fingerprint, those that occur once go, and a match of two positions is extended both ways:
+to each window around it that agrees there too. A window (or one long line) that agrees with an earlier one, in order
+of doc_id, text hash and line, is repeated and its lines are deleted; repeated windows that follow each other make one
+run, since each `window` lines of a longer match have a selected position of their own. What is deleted is judged on
+the input.
 
-Winnowing elects the smallest line hash of each unit, so every repeated run of `window` lines shares a fingerprint
-with its first occurrence. Only fingerprints that occur again are joined; their units are then matched by a 128-bit
-hash of their lines. Counting and first positions are pre-aggregated, so a line in a third of all documents is one
-row for each task.
+A line is known by 128 bits and an extension by 64 more. Counting and first positions are pre-aggregated, so a line in
+a third of all documents is one row for each task.
 
 Defined cases: null and empty texts have no lines; blank lines are no lines and stay, except inside a deleted run;
-rows of equal id and text are one document and get one result each; null ids sort first; other columns are ignored.
+rows of equal id and text are one document and get one result each; null ids sort first; an empty table gives no rows;
+other columns are ignored; a text of any length is worked on whole.
 """
 
 from __future__ import annotations
@@ -29,8 +33,6 @@ from .runtime import KeyBitmap, ddl, shards, stored, text_buffers, text_key, tun
 
 WINDOW = 2
 LONG_WORDS = 50
-_OTHER = 0xC2B2AE3D27D4EB4F
-
 
 
 def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -52,32 +54,38 @@ def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.ndar
     return lines, np.array(first, np.int64), np.array(last, np.int64), row[np.array(keep, np.int64)]
 
 
-def units(data: np.ndarray, offs: np.ndarray, window: int, long_words: int) -> dict[str, np.ndarray]:
-    """The units of each row: fingerprint, two hashes, row, first line (within the row) and number of lines."""
+def winnowed(data: np.ndarray, offs: np.ndarray, window: int, long_words: int) -> dict[str, np.ndarray]:
+    """The selected positions: two hash halves of the line, row, line (within the row), whether it is long, and around:
+    for each place that it may have in a window (0: it comes first) the hash of the window's other lines, 0 where it
+    was not selected for that window."""
     lines, start, end, row = line_spans(data, offs)
-    if not lines:
+    n = len(lines)
+    if not n:
         none = np.zeros(0, np.int64)
-        return {"fp": none, "one": none, "two": none, "row": none, "line": none, "n": none}
+        return {"one": none, "two": none, "row": none, "line": none, "long": none > 0, "around": np.zeros((0, window), np.int64)}
     both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in lines), np.uint64).reshape(-1, 2)
-    line, other = both[:, 0].copy(), both[:, 1].copy()
+    one, two = both[:, 0].copy(), both[:, 1].copy()
     solid = B.SOLID[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     begins[start] = True  # a stripped line begins with the beginning of a word
     total = np.zeros(len(data) + 1, np.int32)
     np.cumsum(begins, out=total[1:])
-    words = total[end] - total[start]
-    number = np.arange(len(row)) - np.searchsorted(row, row)
-    parts = []
-    for n, at in ((window, np.flatnonzero(row[: len(row) - window + 1] == row[window - 1 :]) if len(row) >= window else np.zeros(0, np.int64)), (1, np.flatnonzero(words >= long_words))):
-        least, one, two = line[at], line[at].copy(), other[at].copy()
-        for k in range(1, n):
-            least = np.minimum(least, line[at + k])
-            one = B.mix(one * np.uint64(0x9E3779B97F4A7C15) + line[at + k])
-            two = B.mix(two * np.uint64(_OTHER) + other[at + k])
-        parts.append((least, one + np.uint64(n), two, row[at], number[at], np.full(len(at), n)))
-    joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    return dict(zip(("fp", "one", "two", "row", "line", "n"), joined, strict=True))
+    long = total[end] - total[start] >= long_words
+    around = np.zeros((n, window), np.uint64)
+    first = np.flatnonzero(row[: n - window + 1] == row[window - 1 :]) if n >= window else np.zeros(0, np.int64)
+    if len(first):
+        least = np.stack([one[first + k] for k in range(window)]).argmin(0)
+        for place in range(window):
+            at = first[least == place]
+            code = np.full(len(at), np.uint64(place + 1))
+            for k in range(window):
+                if k != place:
+                    code = B.mix((code ^ one[at + k]) * np.uint64(0x9E3779B97F4A7C15) + two[at + k])
+            around[at + place, place] = np.maximum(code, np.uint64(1))
+    picked = np.flatnonzero(long | around.any(1))
+    number = np.arange(n) - np.searchsorted(row, row)
+    return {"one": one[picked], "two": two[picked], "row": row[picked], "line": number[picked], "long": long[picked], "around": around[picked].view(np.int64)}
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
@@ -89,18 +97,24 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
-            found = units(*text_buffers(shard.column("text")), window, long_words)
+            found = winnowed(*text_buffers(shard.column("text")), window, long_words)
             pick = pa.array(found["row"])
+            around = pa.FixedSizeListArray.from_arrays(pa.array(found["around"].ravel()), window).cast(pa.list_(pa.int64()))
             yield from pa.table(
-                {"fp": found["fp"].view(np.int64), "one": found["one"].view(np.int64), "two": found["two"].view(np.int64), "doc_id": shard.column("doc_id").combine_chunks().take(pick), "tk": shard.column("tk").combine_chunks().take(pick), "line": found["line"].astype(np.int32), "n": found["n"].astype(np.int32)}
+                {"one": found["one"].view(np.int64), "two": found["two"].view(np.int64), "doc_id": shard.column("doc_id").combine_chunks().take(pick), "tk": shard.column("tk").combine_chunks().take(pick), "line": found["line"].astype(np.int32), "long": found["long"], "around": around}
             ).to_batches()
 
-    rows = keyed.select("doc_id", "tk", "text").mapInArrow(find, f"fp bigint, one bigint, two bigint, {id_ddl}, tk bigint, line int, n int")
-    rows = stored(rows)
-    again = rows.groupBy("fp").count().where("count > 1").select("fp")
-    matched = stored(rows.join(again, "fp"))
-    first = matched.groupBy("one", "two").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "tk", "line")).alias("first")).where("times > 1").drop("times")
-    later = matched.join(first, ["one", "two"]).where(F.struct("doc_id", "tk", "line") > F.col("first"))
+    fingerprint = ["one", "two"]
+    rows = stored(keyed.select("doc_id", "tk", "text").mapInArrow(find, f"one bigint, two bigint, {id_ddl}, tk bigint, line int, long boolean, around array<bigint>"))
+    again = rows.groupBy(*fingerprint).count().where("count > 1").select(*fingerprint)
+    # a match is extended to each window that the position was selected for; a long line stands alone (place -1)
+    ways = F.array(*(F.struct(F.lit(k).alias("place"), F.get("around", F.lit(k)).alias("with"), F.lit(window).alias("n")) for k in range(window)), F.struct(F.lit(-1).alias("place"), F.when(F.col("long"), F.lit(1)).otherwise(0).cast("bigint").alias("with"), F.lit(1).alias("n")))
+    matched = rows.join(again, fingerprint).select(*fingerprint, "doc_id", "tk", "line", F.explode(ways).alias("way")).where("way.with <> 0")
+    line = F.col("line") - F.greatest("way.place", F.lit(0))
+    matched = stored(matched.select(*fingerprint, "doc_id", "tk", line.alias("line"), "way.place", "way.with", "way.n"))
+    extended = [*fingerprint, "place", "with"]
+    first = matched.groupBy(*extended).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "tk", "line")).alias("first")).where("times > 1").drop("times")
+    later = matched.join(first, extended).where(F.struct("doc_id", "tk", "line") > F.col("first"))
     # one row for every repeated unit; a document's own are gathered, which its length bounds
     spans = stored(later.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("line", "n")).alias("found")))
     hit = KeyBitmap(spans, "tk", 26)

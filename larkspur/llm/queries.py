@@ -125,5 +125,31 @@ cnt AS (SELECT doc_id, count(*) AS n_words FROM dw GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(l, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM documents d LEFT JOIN cnt USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op5_lines": r"""
+WITH lines AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k, len(ls) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), stripped AS (
+  SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS st FROM lines
+), numbered AS (
+  SELECT *, CAST(sum(CASE WHEN st <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS i FROM stripped
+), own AS (SELECT doc_id, i, st FROM numbered WHERE st <> ''),
+units AS (
+  SELECT doc_id, i, 2 AS w, st || chr(10) || lead(st) OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM own
+  UNION ALL SELECT doc_id, i, 1, st FROM own WHERE len(regexp_extract_all(st, '[^\x09-\x0D\x20]+')) >= 50
+), later AS (
+  SELECT doc_id, i, w FROM (SELECT *, row_number() OVER (PARTITION BY w, unit ORDER BY doc_id, i) AS r FROM units WHERE unit IS NOT NULL) WHERE r > 1
+), gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM later UNION ALL SELECT doc_id, i + 1 FROM later WHERE w = 2)),
+pieces AS (
+  SELECT a.doc_id, a.k, a.st <> '' AS solid, g.i IS NOT NULL AS here, a.st <> '' AND g.i IS NOT NULL AND p.i IS NULL AS begins,
+         CASE WHEN a.st = '' THEN CASE WHEN g.i IS NOT NULL AND q.i IS NOT NULL THEN '' ELSE a.line || CASE WHEN a.k < a.n THEN chr(10) ELSE '' END END
+              WHEN g.i IS NULL THEN a.line || CASE WHEN a.k < a.n THEN chr(10) ELSE '' END
+              WHEN p.i IS NULL THEN substr(a.line, 1, length(a.line) - length(ltrim(a.line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))))
+              ELSE '' END AS piece
+  FROM numbered a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.i = a.i LEFT JOIN gone p ON p.doc_id = a.doc_id AND p.i = a.i - 1 LEFT JOIN gone q ON q.doc_id = a.doc_id AND q.i = a.i + 1
+)
+SELECT doc_id, CAST(sum(CASE WHEN solid THEN 1 ELSE 0 END) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN solid AND here THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+       CAST(sum(CASE WHEN begins THEN 1 ELSE 0 END) AS BIGINT) AS n_runs, sha256(string_agg(piece, '' ORDER BY k)) AS kept_sha256
+FROM pieces GROUP BY doc_id
 """,
 }
