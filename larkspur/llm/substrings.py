@@ -1,26 +1,27 @@
 """Suffix-array dedup: every byte covered by a 200-byte string that also starts elsewhere is removed.
 
 1. Within each text, every window of `length` bytes elects the first smallest hash among its 64-byte grams;
-   neighbouring windows that elect one place form a record. Equal windows elect equal hashes, so they meet under one key, with about one
-   record for 69 bytes instead of one row a byte.
-2. Keys that occur once go. A record whose whole content occurs again is repeated throughout; only one of each content
-   is looked at further, so groups of copies never pile up.
-3. Where one key has several contents, their windows are suffix-sorted: prefix polynomial hashes and binary search
-   find the common extension of two suffixes, a mergesort orders them by it, and neighbours that share `length`
-   bytes are compared byte by byte before they count. A key of more than `GROUP` contents goes through counts of
-   window hashes instead, row by row, so no key gathers in one task.
+   neighbouring windows that elect one place form a record. Equal windows elect equal hashes at equal places, so they
+   meet under one key and at one distance from it, with about one record for 69 bytes instead of one row a byte.
+2. Keys that occur once go. A record whose whole content occurs again is repeated throughout; contents are told apart
+   by a cryptographic digest of 128 bits and their length. Only one of each content is looked at further, so groups of
+   copies never pile up.
+3. Where one key has several contents, the suffixes that begin at the same distance from it are sorted: a mergesort
+   compares two by prefix polynomial hashes and a binary search for their common extension, and in that order
+   neighbours whose common extension reaches `length` are repeated, once their bytes agree too. Hashes only order; a
+   collision is seen by the bytes and settled by them. The windows of a key of more than `GROUP` contents are not
+   gathered in one task: those whose hash occurs once go, and the others are grouped by their very bytes.
 4. Spans go back to their documents; only texts that may have some are shuffled.
 
-Two 64-bit hashes and the length decide that whole records are equal.
-
 Defined cases: null counts as empty; texts shorter than `length` lose nothing; repeated rows (equal id and text) are
 separate occurrences and so lose whatever is long enough; null ids are kept apart from others; other columns are
-ignored; an empty table gives no rows.
+ignored; an empty table gives no rows; a text of any length is worked on whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,11 +52,11 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def records(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Elected hash, row, first window start (in data), number of windows, and content hash of each record."""
+def records(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Elected hash, row, first window start (in data) and number of windows of each record."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return np.zeros(0, np.uint64), none, none, none, np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), none, none, none
     prefix = B.prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
     grams = B.mix(B.span_hash(prefix, at, at + gram))
@@ -82,8 +83,15 @@ def records(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
         k, which = B.expand(np.zeros(len(count), np.int64), parts)
         start, stop, row = start[which] + k * RECORD, stop[which], row[which]
         count = np.minimum(stop - start, RECORD)
-    code = B.mix(B.span_hash(prefix, start, start + count - 1 + length) ^ (count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    return least[start], row, start, count, code
+    return least[start], row, start, count
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of a cryptographic digest of each data[start:end]."""
+    raw = data.tobytes()
+    both = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True))
+    halves = np.frombuffer(both, np.int64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
 
 
 class SuffixOrder:
@@ -92,6 +100,7 @@ class SuffixOrder:
     def __init__(self, data: np.ndarray, limit: int):
         self.data, self.limit = np.concatenate((data, np.zeros(1, np.uint8))), limit
         self.prefix = B.prefix_hash(data)
+        self.power = B.powers(B.BASE, len(data) + 1)
         padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
         self.head = np.zeros(len(data) + 1, np.uint64)
         for i in range(8):
@@ -99,16 +108,21 @@ class SuffixOrder:
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes a and b, up to limit (both lie inside the buffer that far)."""
-        low = np.zeros(len(a), np.int64)
-        step = 1 << (self.limit.bit_length() - 1)
-        while step:
-            reach = low + step
-            ok = reach <= self.limit
-            ra, rb = a + np.where(ok, reach, 0), b + np.where(ok, reach, 0)
-            ok &= B.span_hash(self.prefix, a, ra) == B.span_hash(self.prefix, b, rb)
-            low = np.where(ok, reach, low)
+        out = np.full(len(a), self.limit)
+        part = np.flatnonzero(~self._alike(a, b, np.int64(self.limit)))
+        a, b = a[part], b[part]
+        low, step = np.zeros(len(part), np.int64), 1 << (self.limit.bit_length() - 1)
+        while step and len(part):
+            reach = np.minimum(low + step, self.limit)
+            low = np.where(self._alike(a, b, reach), reach, low)
             step >>= 1
-        return low
+        out[part] = low
+        return out
+
+    def _alike(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the next n bytes have one hash; both sides are brought to one power instead of dividing by it."""
+        x, y = self.prefix[a + n] - self.prefix[a], self.prefix[b + n] - self.prefix[b]
+        return x * self.power[b] == y * self.power[a]
 
     def before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """-1, 0 or 1 as suffix a sorts before, with or after b."""
@@ -123,28 +137,32 @@ class SuffixOrder:
             sign[tied] = np.where(over, 0, np.sign(x - y))
         return sign
 
-    def sort(self, suffixes: np.ndarray) -> np.ndarray:
-        """Bottom-up mergesort; each pass ranks every suffix in its sibling run by binary search."""
+    def sort(self, suffixes: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
+        """Bottom-up mergesort inside each part (numbers that never fall); a pass ranks each suffix in its sibling run."""
         out, n, width = suffixes.copy(), len(suffixes), 1
-        while width < n:
-            spot = np.arange(n)
-            run = spot // width
+        if not n:
+            return out
+        first = np.zeros(1, np.int64) if part is None else np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        size = np.diff(np.append(first, n))
+        base, stop = np.repeat(first, size), np.repeat(first + size, size)
+        while width < size.max():
+            spot = np.flatnonzero(stop - base > width)
+            low_end, high_end = base[spot], stop[spot]
+            run = (spot - low_end) // width
             left = run % 2 == 0
-            begin = np.where(left, (run + 1) * width, (run - 1) * width)
-            begin = np.minimum(begin, n)
-            end = np.minimum(begin + width, n)
-            low, high = begin.copy(), end.copy()
+            begin = np.minimum(low_end + np.where(left, run + 1, run - 1) * width, high_end)
+            low, high = begin.copy(), np.minimum(begin + width, high_end)
             live = np.flatnonzero(low < high)
             while len(live):
                 middle = (low[live] + high[live]) >> 1
-                sign = self.before(out[middle], out[live])
+                sign = self.before(out[middle], out[spot[live]])
                 less = np.where(left[live], sign < 0, sign <= 0)  # ties keep the left run first
                 low[live] = np.where(less, middle + 1, low[live])
                 high[live] = np.where(less, high[live], middle)
                 live = live[low[live] < high[live]]
             place = np.where(left, spot + low - begin, spot - width + low - begin)
-            merged = np.empty_like(out)
-            merged[place] = out
+            merged = out.copy()
+            merged[place] = out[spot]
             out, width = merged, width * 2
         return out
 
@@ -157,35 +175,29 @@ class SuffixOrder:
         return out
 
 
-def repeated_windows(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Which of the windows at `starts` equal another one of the same group."""
+def repeated_windows(data: np.ndarray, starts: np.ndarray, part: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows at `starts` equal another one of the same part: by the common extensions of neighbours in
+    the suffix order, verified byte by byte."""
     order = SuffixOrder(data, length)
-    code = B.mix(B.span_hash(order.prefix, starts, starts + length) ^ B.mix(group.astype(np.uint64) + np.uint64(1)))
-    _, back, count = np.unique(code, return_inverse=True, return_counts=True)
-    out = np.zeros(len(starts), bool)
-    held = np.flatnonzero(count[back] > 1)  # unequal hashes are unequal strings
-    if not len(held):
-        return out
-    # Windows of one hash take one place in the sort; each is then checked against its neighbour there.
-    by_class = held[np.argsort(back[held], kind="stable")]
-    first = np.flatnonzero(np.concatenate(([True], back[by_class][1:] != back[by_class][:-1])))
-    leaders = order.sort(starts[by_class[first]])
-    sorted_at = np.argsort(leaders)
-    place = sorted_at[np.searchsorted(leaders[sorted_at], starts[by_class[first]])]
-    size = np.diff(np.append(first, len(by_class)))
-    line = by_class[np.argsort(np.repeat(place, size), kind="stable")]
-    a, b = line[:-1], line[1:]
-    near = np.flatnonzero((back[a] == back[b]) & (group[a] == group[b]))
-    same = near[order.equal(starts[a[near]], starts[b[near]])]
-    out[a[same]] = out[b[same]] = True
-    if len(same) < len(near):  # a collision stood between equal windows: settle those classes by their bytes
+    by_part = np.argsort(part, kind="stable")
+    part, begin = part[by_part], starts[by_part]
+    several = np.flatnonzero(np.concatenate(([False], part[1:] == part[:-1])) | np.concatenate((part[1:] == part[:-1], [False])) if len(part) else np.zeros(0, bool))
+    part, begin, by_part = part[several], begin[several], by_part[several]
+    line = order.sort(begin, part)
+    again = np.zeros(len(line), bool)
+    near = np.flatnonzero(part[1:] == part[:-1])
+    near = near[order.common(line[near], line[near + 1]) >= length]
+    same = order.equal(line[near], line[near + 1])
+    again[near[same]] = again[near[same] + 1] = True
+    if not same.all():  # unequal strings of one hash have confused the order there: settle those parts by their bytes
         raw = order.data.tobytes()
-        for k in np.unique(back[a[np.setdiff1d(near, same)]]).tolist():
-            seen: dict[tuple[int, bytes], list[int]] = {}
-            for i in np.flatnonzero(back == k).tolist():
-                seen.setdefault((int(group[i]), raw[starts[i] : starts[i] + length]), []).append(i)
-            for own in seen.values():
-                out[own] = len(own) > 1
+        for p in np.unique(part[near[~same]]).tolist():
+            at = np.flatnonzero(part == p)
+            count = Counter(raw[s : s + length] for s in line[at].tolist())
+            again[at] = [count[raw[s : s + length]] > 1 for s in line[at].tolist()]
+    # a start is in one part only, so it is found again by its place in the buffer
+    out = np.zeros(len(starts), bool)
+    out[np.isin(starts, line[again])] = True
     return out
 
 
@@ -215,16 +227,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
             data, offs = text_buffers(shard.column("text"))
-            m, row, start, count, code = records(data, offs, length, gram)
+            m, row, start, count = records(data, offs, length, gram)
             k = np.flatnonzero(seen.has(m.view(np.int64)))
+            one, two = digests(data, start[k], start[k] + count[k] - 1 + length)
             pick = pa.array(row[k])
             yield from pa.table(
-                {"m": m.view(np.int64)[k], "h": code.view(np.int64)[k], "doc_id": shard.column("doc_id").combine_chunks().take(pick), "tk": shard.column("tk").combine_chunks().take(pick), "a": (start[k] - offs[row[k]]).astype(np.int32), "n": count[k].astype(np.int32)}
+                {"m": m.view(np.int64)[k], "one": one, "two": two, "doc_id": shard.column("doc_id").combine_chunks().take(pick), "tk": shard.column("tk").combine_chunks().take(pick), "a": (start[k] - offs[row[k]]).astype(np.int32), "n": count[k].astype(np.int32)}
             ).to_batches()
 
-    found = stored(keyed.mapInArrow(candidates, f"m bigint, h bigint, {id_ddl}, tk bigint, a int, n int").join(several, "m"))
-    contents = stored(found.groupBy("m", "h", "n").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "tk", "a")).alias("at")))
-    whole = found.join(contents.where("times > 1").select("m", "h", "n"), ["m", "h", "n"]).select("doc_id", "tk", F.col("a").alias("s"), (F.col("a") + F.col("n") + (length - 1)).alias("e"))
+    found = stored(keyed.mapInArrow(candidates, f"m bigint, one bigint, two bigint, {id_ddl}, tk bigint, a int, n int").join(several, "m"))
+    content = ["m", "one", "two", "n"]
+    contents = stored(found.groupBy(*content).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "tk", "a")).alias("at")))
+    whole = found.join(contents.where("times > 1").select(*content), content).select("doc_id", "tk", F.col("a").alias("s"), (F.col("a") + F.col("n") + (length - 1)).alias("e"))
     mixed = contents.groupBy("m").agg(F.count("*").alias("k")).where("k > 1")
     wanted = contents.join(mixed, "m").select("at.doc_id", "at.tk", F.struct("m", "at.a", "n", "times", "k").alias("r")).groupBy("doc_id", "tk").agg(F.collect_list("r").alias("rs"))
     wanted = stored(wanted)
@@ -260,33 +274,43 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             edge = int(np.flatnonzero(m != m[-1])[-1]) + 1 if m[0] != m[-1] else 0
             new_key = bool(held) and held[-1].column("m")[-1].as_py() != m[0]
             if new_key and sum(b.num_rows for b in held) >= 2000:
-                yield _sorted_spans(pa.Table.from_batches(held), length)
+                yield _sorted_spans(pa.Table.from_batches(held), length, gram)
                 held = []
             if edge:
                 held.append(batch.slice(0, edge))
                 if sum(b.num_rows for b in held) >= 2000:
-                    yield _sorted_spans(pa.Table.from_batches(held), length)
+                    yield _sorted_spans(pa.Table.from_batches(held), length, gram)
                     held = []
             held.append(batch.slice(edge))
         if held:
-            yield _sorted_spans(pa.Table.from_batches(held), length)
+            yield _sorted_spans(pa.Table.from_batches(held), length, gram)
 
     span_ddl = f"{id_ddl}, tk bigint, s int, e int"
     parts = pieces.where(F.col("k") <= group).select("doc_id", "tk", "m", "times", "a", "content").repartition("m").sortWithinPartitions("m").mapInArrow(sort_groups, span_ddl)
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch], once_more: KeyBitmap | None) -> Iterator[pa.RecordBatch]:
+        """A row of each window of the contents: key and hash; if once_more may hold that also where it is, and its bytes."""
         for batch in batches:
-            for i, content in enumerate(batch.column("content").to_pylist()):
-                data = np.frombuffer(content, np.uint8)
-                prefix, other = B.prefix_hash(data), B.prefix_hash(data, _OTHER)
-                at = np.arange(len(data) - length + 1)
-                rows = [batch.column(c).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))) for c in ("doc_id", "tk", "m", "times")]
-                one, two = B.mix(B.span_hash(prefix, at, at + length)), B.mix(B.span_hash(other, at, at + length, _OTHER_INV))
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(at.astype(np.int32) + batch.column("a")[i].as_py(), pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "tk", "m", "times", "s", "one", "two"])
-
-    rows = pieces.where(F.col("k") > group).mapInArrow(hashes, f"{id_ddl}, tk bigint, m bigint, times bigint, s int, one bigint, two bigint")
-    twice = rows.groupBy("m", "one", "two").count().where("count > 1").drop("count")
-    hot = rows.where("times = 1").join(twice, ["m", "one", "two"]).select("doc_id", "tk", "s", (F.col("s") + length).alias("e"))
+            for i, raw in enumerate(batch.column("content").to_pylist()):
+                prefix = B.prefix_hash(np.frombuffer(raw, np.uint8))
+                at = np.arange(len(raw) - length + 1)
+                code = B.mix(B.span_hash(prefix, at, at + length)).view(np.int64)
+                if once_more is not None:
+                    at = at[once_more.has(code)]
+                    code = code[at]
+                own = [batch.column(c).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))) for c in ("doc_id", "tk", "m", "times")]
+                if once_more is None:
+                    yield pa.RecordBatch.from_arrays([own[2], pa.array(code)], ["m", "code"])
+                else:
+                    bytes_of = pa.array([raw[s : s + length] for s in at.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(at.astype(np.int32) + batch.column("a")[i].as_py(), pa.int32()), bytes_of], ["doc_id", "tk", "m", "times", "s", "bytes"])
+
+    large = pieces.where(F.col("k") > group)
+    twice = stored(large.mapInArrow(lambda batches: hashed(batches, None), "m bigint, code bigint").groupBy("m", "code").count().where("count > 1").select("code"))
+    known = KeyBitmap(twice, "code", 26)
+    windows = large.mapInArrow(lambda batches: hashed(batches, known), f"{id_ddl}, tk bigint, m bigint, times bigint, s int, bytes binary")
+    repeated = windows.groupBy("m", "bytes").count().where("count > 1").select("m", "bytes")
+    hot = windows.where("times = 1").join(repeated, ["m", "bytes"]).select("doc_id", "tk", "s", (F.col("s") + length).alias("e"))
 
     spans = stored(whole.unionByName(parts).unionByName(hot).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("s", "e")).alias("found")))
     hit = KeyBitmap(spans, "tk", 26)
@@ -318,11 +342,7 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).to_pylist() if name in batch.schema.names else [None] * batch.num_rows
 
 
-_OTHER = 0xC2B2AE3D27D4EB4F
-_OTHER_INV = pow(_OTHER, -1, 1 << 64)
-
-
-def _sorted_spans(table: pa.Table, length: int) -> pa.RecordBatch:
+def _sorted_spans(table: pa.Table, length: int, gram: int) -> pa.RecordBatch:
     """Spans of the windows that a group's contents share, for contents that occur once."""
     table = table.combine_chunks()
     raws = table.column("content").to_pylist()
@@ -332,7 +352,11 @@ def _sorted_spans(table: pa.Table, length: int) -> pa.RecordBatch:
     starts, which = B.expand(begin, size - length + 1)
     m = table.column("m").to_numpy()
     group = np.cumsum(np.concatenate(([0], m[1:] != m[:-1])))
-    again = repeated_windows(data, starts, group[which], length)
+    # equal windows elect equal places, so only those at one distance from it can be equal
+    at = np.arange(len(data) - gram + 1)
+    elected = np.flatnonzero(B.mix(B.span_hash(B.prefix_hash(data), at, at + gram)).view(np.int64) == np.repeat(m, size)[: len(at)])
+    place = elected[np.searchsorted(elected, begin)]
+    again = repeated_windows(data, starts, group[which] * np.int64(length) + place[which] - starts, length)
     again &= (table.column("times").to_numpy() == 1)[which]
     first, last = B.runs(again)
     inner = np.flatnonzero(again[1:] & again[:-1] & (which[1:] != which[:-1])) + 1

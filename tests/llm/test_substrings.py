@@ -66,3 +66,45 @@ def test_suffix_order_sorts_and_verifies():
     again = repeated_windows(data, starts, np.zeros(len(starts), np.int64), 40)
     count = Counter(raw[s : s + 40] for s in starts)
     assert again.tolist() == [count[raw[s : s + 40]] > 1 for s in starts]
+
+
+def test_the_order_decides(monkeypatch):
+    """Two repeated windows and single ones of one part: only a right order brings the equal ones together."""
+    r = np.random.default_rng(5)
+    made = [r.integers(97, 123, 40).astype(np.uint8) for _ in range(30)]
+    pieces = [made[i] for i in (*range(30), *range(12), 3, 4)]
+    data = np.concatenate(pieces)
+    starts = np.arange(len(pieces)) * 40
+    part = np.zeros(len(pieces), np.int64)
+    want = [i in (*range(12), *range(30, 44)) for i in range(44)]
+    assert repeated_windows(data, starts, part, 40).tolist() == want
+    monkeypatch.setattr(SuffixOrder, "sort", lambda self, suffixes, part=None: suffixes[np.random.default_rng(1).permutation(len(suffixes))])
+    assert repeated_windows(data, starts, part, 40).tolist() != want
+
+
+def test_a_collision_is_settled_by_bytes(monkeypatch):
+    """Hashes that tell nothing apart: every comparison ties, every neighbour seems equal."""
+    monkeypatch.setattr(SuffixOrder, "_alike", lambda self, a, b, n: np.ones(len(a), bool))
+    data = np.frombuffer(b"sameheadAAAA" + b"sameheadBBBB" + b"sameheadAAAA" + b"sameheadCCCC", np.uint8)
+    assert repeated_windows(data, np.array([0, 12, 24, 36]), np.zeros(4, np.int64), 12).tolist() == [True, False, True, False]
+
+
+def test_sorting_stays_inside_parts():
+    r = np.random.default_rng(6)
+    data = r.integers(97, 99, 600).astype(np.uint8)
+    starts, part = r.permutation(500), np.sort(r.integers(0, 40, 500))
+    raw = data.tobytes()
+    order = SuffixOrder(data, 60)
+    got = order.sort(starts, part)
+    for p in set(part.tolist()):
+        assert [raw[s : s + 60] for s in got[part == p]] == sorted(raw[s : s + 60] for s in starts[part == p])
+
+
+def test_texts_of_several_shards(spark):
+    r = np.random.default_rng(9)
+    prose = lambda n: bytes(r.integers(97, 123, n).astype(np.uint8)).decode()
+    long = prose(2_500_000)
+    passage = long[1_000_000:1_300_000]
+    rows = [(1, long), (2, "0" + passage + "1" + prose(300_000)), (3, "2" + passage[:5000] + "3"), (4, "é" * 1000), (5, prose(100))]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: (2_500_000, 300_000, 1), 2: (600_002, 300_000, 1), 3: (5002, 5000, 1), 4: (2000, 2000, 1), 5: (100, 0, 0)}
