@@ -3,9 +3,14 @@
 mux() writes 8-bit samples behind a movie header; describe() walks the nested boxes of any such container, decodes
 the sample tables and never the payload. The payload is read back through those tables.
 
+A container's payload and codec are those of its first track; `tracks` has codec, duration, samples and key sample
+ranges of every one.
+
 Defined cases: null and empty texts count as no bytes and become one unit of zero bytes; a container that is null, cut
-short or not ISO media gets a null description and `error`; equal bytes give equal containers (nothing in them depends
-on time or place); other columns are ignored, repeated rows are each reported.
+short, fragmented, not ISO media, or whose tables count or point past the file gets a null description and `error`,
+before anything of the claimed size is allocated; equal bytes give equal containers (nothing in them depends on time or
+place); other columns are kept by describe_media and ignored by encode_texts; repeated rows are each reported; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,15 +23,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import tuned
+from .runtime import shards, tuned
 
 UNIT = 64
 #: Samples in a chunk; the first of each chunk is a key sample.
 CHUNK = 64
 RATE = 8000
+#: Samples of one track at most; a table that counts more is taken for damaged.
+MOST_SAMPLES = 1 << 27
 CODEC = b"raw "
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"}
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -98,28 +106,53 @@ class Track:
     duration: int = 0
     tables: dict[bytes, bytes] = field(default_factory=dict)
 
-    def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Offset and size of each sample in the file, and the (0-based) key samples."""
+    def times(self) -> np.ndarray:
+        """Decoding time of each sample, in units of the timescale."""
+        runs = _entries(self.tables[b"stts"], 2)
+        if len(runs) and int(runs[:, 0].sum()) > MOST_SAMPLES:
+            raise ValueError("stts counts more samples than a file holds")
+        step = np.repeat(runs[:, 1], runs[:, 0])
+        return np.cumsum(step) - step
+
+    def samples(self, file_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Offset and size of each sample in the file, and the (0-based) key samples.
+
+        Counts are held against the tables' own sizes and samples against the file before anything is allocated.
+        """
         t = self.tables
         fixed, count = struct.unpack(">II", t[b"stsz"][4:12])
-        size = np.full(count, fixed, np.int64) if fixed else np.frombuffer(t[b"stsz"], ">u4", count, 12).astype(np.int64)
-        wide = b"co64" in t
-        raw = t[b"co64" if wide else b"stco"]
-        chunks = np.frombuffer(raw, ">u8" if wide else ">u4", struct.unpack(">I", raw[4:8])[0], 8).astype(np.int64)
-        runs = np.frombuffer(t[b"stsc"], ">u4", 3 * struct.unpack(">I", t[b"stsc"][4:8])[0], 8).reshape(-1, 3).astype(np.int64)
+        if count > MOST_SAMPLES or fixed and fixed * count > file_size:
+            raise ValueError(f"stsz counts {count} samples, more than the file holds")
+        size = np.full(count, fixed, np.int64) if fixed else _entries(t[b"stsz"], 1, 8)[:, 0]
+        chunks = _entries(t[b"co64"], 1, wide=True)[:, 0] if b"co64" in t else _entries(t[b"stco"], 1)[:, 0]
+        runs = _entries(t[b"stsc"], 3)
         until = np.append(runs[1:, 0], len(chunks) + 1)
-        per_chunk = np.repeat(runs[:, 1], until - runs[:, 0])
-        chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[:count]
+        lasts = until - runs[:, 0]
+        if len(runs) and (runs[0, 0] != 1 or (lasts < 1).any()) or count and not len(runs):
+            raise ValueError("stsc does not lead through the chunks")
+        if int((runs[:, 1].astype(object) * lasts).sum()) < count or (runs[:, 1] > count).any():
+            raise ValueError("stsc and stsz disagree")
+        per_chunk = np.repeat(runs[:, 1], lasts)
+        chunk = np.repeat(np.arange(len(per_chunk)), np.diff(np.minimum(np.concatenate(([0], np.cumsum(per_chunk))), count)))
         before = np.cumsum(size) - size
         first = np.minimum(np.cumsum(per_chunk) - per_chunk, max(count - 1, 0))
         offset = chunks[chunk] + before - before[first[chunk]]
-        if b"stss" in t:
-            key = np.frombuffer(t[b"stss"], ">u4", struct.unpack(">I", t[b"stss"][4:8])[0], 8).astype(np.int64) - 1
-        else:
-            key = np.arange(count)
+        if count and (int(offset.min()) < 0 or int((offset + size).max()) > file_size):
+            raise ValueError("a sample lies outside the file")
+        key = _entries(t[b"stss"], 1)[:, 0] - 1 if b"stss" in t else np.arange(count)
+        if len(key) and (int(key.min()) < 0 or int(key.max()) >= count):
+            raise ValueError("stss names samples that are not there")
         return offset, size, key
 
 
+def _entries(table: bytes, columns: int, count_at: int = 4, wide: bool = False) -> np.ndarray:
+    """The rows of a sample table, whose count has to agree with its size."""
+    (count,) = struct.unpack(">I", table[count_at : count_at + 4])
+    if count * columns * (8 if wide else 4) > len(table) - count_at - 4:
+        raise ValueError(f"a sample table of {len(table)} bytes counts {count} rows")
+    return np.frombuffer(table, ">u8" if wide else ">u4", count * columns, count_at + 4).astype(np.int64).reshape(-1, columns)
+
+
 def walk(data: bytes, start: int, end: int, depth: int = 0) -> Iterator[tuple[bytes, int, int]]:
     """Kind and body of every box between start and end, containers before what is in them."""
     while end - start >= 8:
@@ -142,6 +175,8 @@ def parse(data: bytes) -> list[Track]:
     seen = False
     for kind, body, stop in walk(data, 0, len(data)):
         seen |= kind == b"ftyp"
+        if kind == b"moof":
+            raise ValueError("a fragmented file: its samples are not in the sample tables")
         if kind == b"trak":
             tracks.append(Track())
         elif not tracks:
@@ -162,7 +197,7 @@ def parse(data: bytes) -> list[Track]:
 
 def payload_of(data: bytes, track: Track) -> bytes:
     """The samples of a track in order, by the sample tables alone."""
-    offset, size, _ = track.samples()
+    offset, size, _ = track.samples(len(data))
     joint = np.flatnonzero(offset[1:] != offset[:-1] + size[:-1]) + 1
     first = np.concatenate(([0], joint)) if len(offset) else joint
     last = np.append(joint, len(offset))
@@ -183,20 +218,30 @@ def encode_texts(docs: DataFrame) -> DataFrame:
     source = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column("raw").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([mux(pad(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"]
-            )
+        for shard in shards(batches, "raw"):
+            raw = shard.column("raw")
+            media = pa.array((mux(pad(x.as_py())) for x in raw), pa.large_binary())
+            yield from pa.table({"doc_id": shard.column("doc_id"), "n_bytes": pc.binary_length(raw).cast(pa.int64()), "media": media.cast(pa.binary())}).to_batches()
 
     return source.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
+RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 DESCRIBED = {
-    "codec": pa.string(), "handler": pa.string(), "duration_ms": pa.int64(), "n_samples": pa.int64(), "keyframes": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
+    "codec": pa.string(), "handler": pa.string(), "duration_ms": pa.int64(), "n_samples": pa.int64(), "keyframes": RANGES,
+    "tracks": pa.list_(pa.struct([("codec", pa.string()), ("handler", pa.string()), ("duration_ms", pa.int64()), ("n_samples", pa.int64()), ("last_time", pa.int64()), ("keyframes", RANGES)])),
     "media_bytes": pa.int64(), "media_sha256": pa.string(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "feature": pa.string(), "error": pa.string(),
 }
-DESCRIBED_DDL = "codec string, handler string, duration_ms bigint, n_samples bigint, keyframes array<struct<start:bigint,end:bigint>>, media_bytes bigint, media_sha256 string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string, error string"
+_RANGES_DDL = "array<struct<start:bigint,end:bigint>>"
+DESCRIBED_DDL = f"codec string, handler string, duration_ms bigint, n_samples bigint, keyframes {_RANGES_DDL}, tracks array<struct<codec:string,handler:string,duration_ms:bigint,n_samples:bigint,last_time:bigint,keyframes:{_RANGES_DDL}>>, media_bytes bigint, media_sha256 string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string, error string"
+
+
+def _described(track: Track, offset: np.ndarray, size: np.ndarray, key: np.ndarray) -> dict:
+    times = track.times() if b"stts" in track.tables else np.zeros(0, np.int64)
+    return {
+        "codec": track.codec, "handler": track.handler, "duration_ms": track.duration * 1000 // track.timescale if track.timescale else None, "n_samples": len(size),
+        "last_time": int(times[-1]) if len(times) else None, "keyframes": [{"start": a, "end": b} for a, b in zip(offset[key].tolist(), (offset[key] + size[key]).tolist(), strict=True)],
+    }
 
 
 def describe_one(data: bytes | None) -> dict:
@@ -204,16 +249,15 @@ def describe_one(data: bytes | None) -> dict:
         return {"error": "null"}
     out = {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
     try:
-        track = parse(data)[0]
-        offset, size, key = track.samples()
-        payload = payload_of(data, track)
-    except (ValueError, KeyError, IndexError, struct.error) as error:
-        return out | {"error": str(error)[:200]}
-    return out | {
-        "codec": track.codec, "handler": track.handler, "duration_ms": track.duration * 1000 // track.timescale if track.timescale else None, "n_samples": len(size),
-        "keyframes": [{"start": a, "end": b} for a, b in zip(offset[key].tolist(), (offset[key] + size[key]).tolist(), strict=True)],
-        "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]),
-        "feature": f"codec={track.codec.strip()};ms={track.duration * 1000 // max(track.timescale, 1)};keys={len(key)};{features(payload)}",
+        found = [(track, track.samples(len(data))) for track in parse(data)]
+        tracks = [_described(track, *own) for track, own in found]
+        payload = payload_of(data, found[0][0])
+    except (ValueError, KeyError, IndexError, OverflowError, struct.error) as error:
+        return out | {"error": f"{type(error).__name__}: {error}"[:200]}
+    first = {k: v for k, v in tracks[0].items() if k != "last_time"}
+    return out | first | {
+        "tracks": tracks, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]),
+        "feature": f"codec={first['codec'].strip()};ms={first['duration_ms'] or 0};keys={len(first['keyframes'])};{features(payload)}",
     }
 
 
@@ -222,10 +266,9 @@ def describe_media(media: DataFrame, column: str = "media") -> DataFrame:
     kept = [c for c in media.columns if c != column]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [describe_one(x.as_py()) for x in batch.column(column)]
-            arrays = [batch.column(c) for c in kept] + [pa.array([r.get(c) for r in rows], t) for c, t in DESCRIBED.items()]
-            yield pa.RecordBatch.from_arrays(arrays, [*kept, *DESCRIBED])
+        for shard in shards(batches, column):
+            rows = [describe_one(x.as_py()) for x in shard.column(column)]
+            yield from pa.table({c: shard.column(c) for c in kept} | {c: pa.array([r.get(c) for r in rows], t) for c, t in DESCRIBED.items()}).to_batches()
 
     ddl = "".join(f"`{c}` {media.schema[c].dataType.simpleString()}, " for c in kept) + DESCRIBED_DDL
     return media.mapInArrow(work, ddl)
