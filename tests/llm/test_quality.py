@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from larkspur.llm.quality import classify_quality, fit, row_features
+from larkspur.llm.quality import best_bin, cells, class_prior, classify_quality, fit, row_features, train
 
 
 def corpus(seed, n=600):
@@ -62,3 +62,32 @@ def test_risk_stays_non_negative_with_a_wrong_prior():
     for prior in (0.5, 0.75, 0.95):
         model = fit(p, u, prior)
         assert model.score(p).mean() > 0.8 and (prior > 0.8 or model.score(u[150:]).mean() < 0.3)
+
+
+def test_prior_is_estimated_from_positives_and_unlabelled_rows():
+    r = np.random.default_rng(4)
+    for prior in (0.3, 0.6, 0.85):
+        p, u = r.normal(1, 0.5, (2000, 26)), np.concatenate((r.normal(1, 0.5, (int(4000 * prior), 26)), r.normal(-0.5, 0.5, (4000 - int(4000 * prior), 26))))
+        u = u[r.permutation(len(u))]
+        assert abs(class_prior(p, u, np.ones(len(u)), 100) - prior) < 0.06
+    assert abs(best_bin(np.linspace(0.5, 1, 500), np.concatenate((np.linspace(0.5, 1, 500), np.linspace(0, 0.4, 500))), np.ones(1000)) - 0.5) < 0.05
+
+
+def test_negative_labels_do_not_set_the_prior(spark):
+    """Among the labels half are good, among the documents nine in ten: only positives and unlabelled rows count."""
+    docs, labels = corpus(6, 1500)
+    bad = [x for x in labels if not x[1]]
+    some = [x for x in labels if x[1]][: len(bad)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    prior = train(frame, spark.createDataFrame(bad + some, "doc_id bigint, quality int")).prior
+    assert 0.7 < prior < 0.98
+
+
+def test_cells_count_every_row(spark):
+    docs, _ = corpus(7, 300)
+    frame = spark.createDataFrame([*docs, (None, None), (1, docs[1][1])], "doc_id bigint, text string")
+    raws = [x.encode() for _, x in docs[:20]]
+    means, count = cells(frame, row_features(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])))
+    whole = [(x or "").encode() for _, x in [*docs, (None, None), (1, docs[1][1])]]
+    want = row_features(np.frombuffer(b"".join(whole), np.uint8), np.cumsum([0, *map(len, whole)])).mean(0)
+    assert count.sum() == 302 and np.allclose((means * count[:, None]).sum(0) / 302, want, atol=1e-5)
