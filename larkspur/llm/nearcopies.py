@@ -6,11 +6,17 @@ interval also have a position and count only below w. A component keeps its earl
 with the probability of their weighted Jaccard similarity. Points are drawn in order of time for all shingles at once
 and drawing stops at the latest kept time, so a text costs a few points for each component, whatever its length.
 
-Equal texts are one node from the start. Nodes that share a band (ROWS components) meet in a bucket. In a bucket,
-pairs in different components that may be similar enough are thinned to a spanning forest of the likeliest pairs; only its edges leave the task. They are verified on the whole shingle multisets, components are
-formed, and buckets that still hold hopeful, untested pairs across components go round again with more forests, and at
-last with all such pairs. What is hopeful is told from a second, longer signature that only nodes in buckets get. A
-pair is looked at in the first bucket it shares. A bucket beyond BLOCK nodes is worked on in pairs of blocks.
+Texts of one 128-bit digest are one node from the start. Nodes that share a band (ROWS components) meet in a bucket.
+In a bucket, pairs in different components that may be similar enough are thinned to a spanning forest of the likeliest
+pairs; only its edges leave the task. They are verified on the whole shingle multisets, components are formed, and
+buckets that still hold hopeful, untested pairs across components go round again with more forests, and at last with
+all such pairs. What is hopeful is told from a second, longer signature that only nodes in buckets get. A pair is
+looked at in the first bucket it shares.
+
+A bucket beyond BLOCK nodes is dealt out in blocks. In the first round a block keeps to itself, which makes most of a
+large group of copies one component. After it the largest component of a bucket stays where it is, and only the nodes
+of its other components visit all blocks: the rows are the bucket's, and once more for each block those of the nodes
+that are not in its largest component.
 
 A class is what verified links connect; its id is its least doc_id. Defined cases: a text of fewer than `shingle`
 words has one shingle, all its words; texts without words are linked to no other text, equal ones (a null text is an
@@ -34,7 +40,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
-#: Nodes of one bucket in a task.
+#: Nodes of one bucket that a task compares with each other.
 BLOCK = 1024
 #: Spanning forests in each round; the last round tests every pair that is left, so nothing needs another.
 FORESTS = (1, 8, None)
@@ -108,11 +114,11 @@ def similarity(row_a: tuple, row_b: tuple, n: int) -> np.ndarray:
     return shared / np.maximum(np.bincount(row, count, n) - shared, 1)
 
 
-def forest(sketch: np.ndarray, bands: np.ndarray, key: int, component: np.ndarray, side: np.ndarray | None, hopeful: float, tested: set[tuple[int, int]], times: int | None) -> list[tuple[int, int]]:
+def forest(sketch: np.ndarray, bands: np.ndarray, key: int, component: np.ndarray, guest: np.ndarray, hopeful: float, tested: set[tuple[int, int]], times: int | None) -> list[tuple[int, int]]:
     """Edges of up to `times` disjoint spanning forests over components (of all, if None), likeliest pairs first.
 
     sketch: packed bits. bands: all band keys; a pair is only looked at in the first bucket that it shares, here the
-    one of `key`. side: blocks, pairs within which are not looked at.
+    one of `key`. guest: nodes of other blocks; pairs of two guests are not looked at.
     """
     n, bits = sketch.shape[0], sketch.shape[1] * 8
     words = sketch.view(np.uint64)
@@ -121,8 +127,8 @@ def forest(sketch: np.ndarray, bands: np.ndarray, key: int, component: np.ndarra
     for i in range(n - 1):
         other = np.arange(i + 1, n)
         ok = component[other] != component[i]
-        if side is not None:
-            ok &= side[other] != side[i]
+        if guest[i]:
+            ok &= ~guest[other]
         other = other[ok]
         if len(other):
             apart = np.bitwise_count(words[other] ^ words[i]).sum(1)
@@ -162,8 +168,13 @@ def forest(sketch: np.ndarray, bands: np.ndarray, key: int, component: np.ndarra
     return out
 
 
+def text_name() -> F.Column:
+    """A 128-bit digest of the text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("name")
+
+
 def sketch_texts(docs: DataFrame, shingle: int) -> DataFrame:
-    """node (hash of the text), doc_id and bands; null ones without words."""
+    """name (digest of the text), doc_id and bands; null ones without words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
@@ -177,10 +188,9 @@ def sketch_texts(docs: DataFrame, shingle: int) -> DataFrame:
                 band = B.mix(band * np.uint64(0xD1342543DE82EF95) + bits[:, r::ROWS] + np.uint64(r))
             band = B.mix(band + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             bands = pa.array([None if e else x for e, x in zip(empty.tolist(), band.tolist(), strict=True)], pa.list_(pa.int64()))
-            yield from pa.table({"node": shard.column("node").combine_chunks(), "doc_id": shard.column("doc_id").combine_chunks(), "bands": bands}).to_batches()
+            yield from pa.table({"name": shard.column("name").combine_chunks(), "doc_id": shard.column("doc_id").combine_chunks(), "bands": bands}).to_batches()
 
-    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "doc_id", "text")
-    return keyed.mapInArrow(work, f"node bigint, {ddl(docs, ['doc_id'])}, bands array<bigint>")
+    return docs.select(text_name(), "doc_id", "text").mapInArrow(work, f"name binary, {ddl(docs, ['doc_id'])}, bands array<bigint>")
 
 
 def long_sketches(texts: DataFrame, shingle: int) -> DataFrame:
@@ -204,32 +214,34 @@ def one_of_each(docs: DataFrame, keep: tuple[str, ...], threshold: float = SIMIL
     """The columns `keep` of one row of each class, that of the least doc_id."""
     tuned(docs.sparkSession)
     told = stored(classes(docs, threshold, shingle))
-    best = told.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("s"))
-    goes = told.join(best, "c").where(~(F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("node") == F.col("s.node")))).select("doc_id", "node").distinct()
-    again = told.groupBy("doc_id", "node").count().where("count > 1").select("doc_id", "node", F.lit(False).alias("goes"))
-    marked = stored(again.unionByName(goes.withColumn("goes", F.lit(True))).groupBy("doc_id", "node").agg(F.max("goes").alias("goes")))
+    best = told.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("s"))
+    goes = told.join(best, "c").where(~(F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("name") == F.col("s.name")))).select("doc_id", "name").distinct()
+    again = told.groupBy("doc_id", "name").count().where("count > 1").select("doc_id", "name", F.lit(False).alias("goes"))
+    marked = stored(again.unionByName(goes.withColumn("goes", F.lit(True))).groupBy("doc_id", "name").agg(F.max("goes").alias("goes")))
     columns = list(dict.fromkeys(("doc_id", "text", *keep)))
-    keyed = docs.select(*columns, F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
-    hit = KeyBitmap(marked, "node", 26)
-    right = marked.select(F.col("doc_id").alias("w"), F.col("node").alias("wn"), "goes")
-    maybe = hit.maybe(keyed, "node")
-    seen = maybe.join(right.hint("shuffle_hash"), maybe["doc_id"].eqNullSafe(F.col("w")) & (F.col("node") == F.col("wn")), "left")
-    once = seen.where("goes = false").dropDuplicates(["doc_id", "node"])
-    clear = keyed.mapInArrow(lambda batches: hit.pick(batches, "node", False), ddl(keyed, keyed.columns))
-    return clear.select(*keep).unionByName(seen.where("goes is null").select(*keep)).unionByName(once.select(*keep))
+    keyed = docs.select(*(F.col(c).alias(f"_{c}") for c in columns), text_name()).withColumn("spot", F.xxhash64("name"))
+    hit = KeyBitmap(marked.select(F.xxhash64("name").alias("spot")), "spot", 26)
+    right = marked.select(F.col("doc_id").alias("w"), F.col("name").alias("wn"), "goes")
+    maybe = hit.maybe(keyed, "spot")
+    seen = maybe.join(right.hint("shuffle_hash"), maybe["_doc_id"].eqNullSafe(F.col("w")) & (F.col("name") == F.col("wn")), "left")
+    once = seen.where("goes = false").dropDuplicates(["_doc_id", "name"])
+    clear = keyed.mapInArrow(lambda batches: hit.pick(batches, "spot", False), ddl(keyed, keyed.columns))
+    back = [F.col(f"_{c}").alias(c) for c in keep]
+    return clear.select(*back).unionByName(seen.where("goes is null").select(*back)).unionByName(once.select(*back))
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """doc_id, node (the text's hash), c (the class's least node), class_id of every row."""
+    """doc_id, name (the text's digest), c (the class's least node), class_id of every row."""
     spark = tuned(docs.sparkSession)
     rows = stored(sketch_texts(docs, shingle))
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
+    # nodes are numbered once and kept, so a number never stands for two texts
+    nodes = stored(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     member = nodes.select("node", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     member = stored(member.join(shared, "key"))
-    in_some = member.select("node").distinct()
-    keep = KeyBitmap(in_some, "node", 26)
-    texts = keep.maybe(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text"), "node").join(in_some, "node", "left_semi")
+    in_some = stored(nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "name", F.xxhash64("name").alias("spot")))
+    keep = KeyBitmap(in_some, "spot", 26)
+    texts = keep.maybe(docs.select(text_name(), "text").withColumn("spot", F.xxhash64("name")), "spot").drop("spot").join(in_some.drop("spot"), "name")
     texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")))
     sketches = stored(long_sketches(texts, shingle).join(nodes.select("node", "bands"), "node"))
     empty = "u bigint, v bigint"
@@ -238,7 +250,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHING
     for times in FORESTS:
         now = member.withColumn("c", F.col("node")) if label is None else member.join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
         apart = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-        fresh = stored(_hopeful_pairs(now.join(apart, "key"), sketches, tested, hopeful, block, times))
+        fresh = stored(_hopeful_pairs(now.join(apart, "key"), sketches, tested, hopeful, block, times, label is None and times == FORESTS[0]))
         found = stored(_verified(fresh, texts, threshold, shingle))
         if found.take(1):
             links = links.unionByName(found)
@@ -246,17 +258,23 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHING
         tested = tested.unionByName(fresh)
     if label is None:
         label = spark.createDataFrame([], "node bigint, c bigint")
-    named = nodes.select("node", "least").join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    named_classes = named.join(named.groupBy("c").agg(F.min("least").alias("class_id")), "c").select("node", "c", "class_id")
-    return rows.select("node", "doc_id").join(named_classes, "node").select("doc_id", "node", "c", "class_id")
+    named = nodes.select("node", "name", "least").join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    named_classes = named.join(named.groupBy("c").agg(F.min("least").alias("class_id")), "c").select("name", "c", "class_id")
+    return rows.select("name", "doc_id").join(named_classes, "name").select("doc_id", "name", "c", "class_id")
 
 
-def _hopeful_pairs(member: DataFrame, sketches: DataFrame, tested: DataFrame, hopeful: float, block: int, times: int | None) -> DataFrame:
+def _hopeful_pairs(member: DataFrame, sketches: DataFrame, tested: DataFrame, hopeful: float, block: int, times: int | None, first: bool) -> DataFrame:
     """Distinct untested pairs (u > v) of nodes that forests over the buckets pick."""
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.hash("node"), blocks)
-    placed = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("key", "node", "c", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    if first:  # every node is a component yet: blocks keep to themselves
+        placed = member.select("key", "node", "c", own.alias("p"), F.lit(False).alias("guest"))
+    else:
+        large = member.where(F.col("size") > block)
+        main = large.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", "count").alias("main"))
+        cut = member.join(main, "key", "left").withColumn("own", own)
+        visits = F.when(F.col("c") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), blocks - 1))
+        placed = cut.withColumn("p", F.explode(visits)).select("key", "node", "c", "p", (F.col("p") != F.col("own")).alias("guest"))
     # what was tested in vain goes along with its first node, so that a forest does not pick it again
     vain = tested.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("vain"))
     full = placed.join(sketches, "node").join(vain, "node", "left")
@@ -268,16 +286,16 @@ def _hopeful_pairs(member: DataFrame, sketches: DataFrame, tested: DataFrame, ho
         def done() -> pa.RecordBatch:
             sketch = np.frombuffer(b"".join(r["sketch"] for r in held), np.uint8).reshape(len(held), -1)
             component = np.array([r["c"] for r in held])
-            side = np.array([r["own"] for r in held]) if last[1] != last[2] else None
+            guest = np.array([r["guest"] for r in held])
             at = {r["node"]: i for i, r in enumerate(held)}
             tested_here = {(min(i, at[v]), max(i, at[v])) for i, r in enumerate(held) for v in r["vain"] or () if v in at}
             bands = np.array([r["bands"] for r in held])
-            found = [(held[i]["node"], held[j]["node"]) for i, j in forest(sketch, bands, last[0], component, side, hopeful, tested_here, times)]
+            found = [(held[i]["node"], held[j]["node"]) for i, j in forest(sketch, bands, last[0], component, guest, hopeful, tested_here, times)]
             return pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], ["u", "v"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                name = (r["key"], r["p"], r["q"])
+                name = (r["key"], r["p"])
                 if held and name != last:
                     yield done()
                     held = []
@@ -286,7 +304,7 @@ def _hopeful_pairs(member: DataFrame, sketches: DataFrame, tested: DataFrame, ho
         if held:
             yield done()
 
-    order = ["key", "p", "q"]
+    order = ["key", "p"]
     return full.repartition(*order).sortWithinPartitions(*order).mapInArrow(pick, "u bigint, v bigint").distinct()
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from larkspur.llm.nearcopies import near_copies, shingles, signatures
+from larkspur.llm.nearcopies import near_copies, one_of_each, shingles, signatures
 
 
 def bag(text, k=5):
@@ -63,6 +63,36 @@ def test_against_brute_force(spark, seed, block):
     assert sorted(((r.doc_id, r.class_id) for r in got), key=key) == sorted(((d, c) for (d, _), c in zip(docs, brute(docs, 0.8), strict=True)), key=key)
 
 
+def test_texts_of_several_shards_and_extra_columns(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefgé") for _ in range(r.randint(2, 7))) for _ in range(400_000)]
+    near = list(words)
+    for i in range(0, len(near), 100):
+        near[i] = "changed"
+    far = words[: len(words) // 2]
+    docs = [(9, " ".join(words)), (4, " ".join(near)), (2, " ".join(far)), (7, " ".join(words))]
+    assert len(docs[0][1]) > 2 << 20
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS name", "2 AS spot", "3 AS guest", "4 AS node", "5 AS goes")
+    assert {(x.doc_id, x.class_id) for x in near_copies(frame).collect()} == {(9, 4), (4, 4), (7, 4), (2, 2)}
+    assert {tuple(x) for x in one_of_each(frame, ("doc_id", "name", "spot", "goes")).collect()} == {(4, 1, 2, 5), (2, 1, 2, 5)}
+
+
+def test_large_buckets_send_only_strangers_around(spark):
+    """One large group of near copies and some texts that share its words: with small blocks every link is still found."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+    docs = []
+    for i in range(120):
+        own = list(base)
+        own[r.randrange(300)] = f"x{i}"
+        docs.append((i, " ".join(own)))
+    for i in range(120, 150):
+        own = [w if r.random() > 0.035 else f"y{i}" for w in base]
+        docs.append((i, " ".join(own)))
+    got = {x.doc_id: x.class_id for x in near_copies(spark.createDataFrame(docs, "doc_id bigint, text string"), block=8).collect()}
+    assert got == dict(zip(range(150), brute(docs, 0.8), strict=True))
+
+
 def test_empty(spark):
     assert near_copies(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
