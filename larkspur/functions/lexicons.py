@@ -24,7 +24,8 @@ OVERRIDE = [
     r"\bforget (everything|all previous)\b",
     r"\boverride (the )?(system|safety)\b",
 ]
-PIPE_TO_SHELL = r"\b(?:curl|wget)\b.*?\|\s*(?:sudo\s+)?(?:ba|z|da)?sh\b"
+FETCH_TOOL = r"\b(curl|wget)\b"
+SHELL_TAIL = r"\|\s*(sudo\s+)?(ba|z|da)?sh\b"
 FETCH_DIRECTIVE = r"\b(download|fetch|retrieve|curl|wget|get)\b.{0,60}\b(and|then)\s+(run|execute|eval|follow|apply)\b|\bfollow (the|these|its) instructions\b"
 EGRESS = [
     r"\bcurl\b", r"\bwget\b", r"\bnc\b", r"\bInvoke-WebRequest\b", r"\bInvoke-RestMethod\b", r"\brequests\.", r"\burllib\.request\b", r"\bhttpx\b",
@@ -81,7 +82,8 @@ def override(line: Column) -> Column:
 
 
 def pipe_to_shell(line: Column) -> Column:
-    return found(line, PIPE_TO_SHELL)
+    """The first tool is found first and the tail after it next, so a line full of tools takes linear time."""
+    return found(F.regexp_extract(line, f"(?Us){FETCH_TOOL}(.*)$", 2), SHELL_TAIL)
 
 
 def remote_fetch(line: Column) -> Column:

@@ -104,15 +104,21 @@ def any_angle_bracket(text: pd.Series) -> pd.Series:
     return text.map(lambda t: held(_json(t)))
 
 
+def tree_digest(files: list[tuple[str, bytes]]) -> str:
+    """sha256 over paths and contents of (path, content), in order of path parts, some folders left out."""
+    h = hashlib.sha256()
+    for rel, content in sorted(files, key=lambda x: x[0].split("/")):
+        if not {".git", "node_modules"} & set(rel.split("/")[:-1]):
+            h.update(rel.encode() + content)
+    return h.hexdigest()
+
+
 def tree_hash(files: DataFrame) -> DataFrame:
     """id, tree_hash of files (id, relpath, content): sha256 over paths and contents in order of path parts."""
 
     def digest(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = hashlib.sha256()
-        for rel, content in sorted(zip(pdf.relpath, pdf.content, strict=True), key=lambda x: x[0].split("/")):
-            if not {".git", "node_modules"} & set(rel.split("/")[:-1]):
-                h.update(rel.encode() + bytes(content))
-        return pd.DataFrame({"id": [pdf.id.iloc[0]], "tree_hash": [h.hexdigest()]})
+        own = [(rel, bytes(content)) for rel, content in zip(pdf.relpath, pdf.content, strict=True)]
+        return pd.DataFrame({"id": [pdf.id.iloc[0]], "tree_hash": [tree_digest(own)]})
 
     return files.select("id", "relpath", "content").groupBy("id").applyInPandas(digest, "id string, tree_hash string")
 

@@ -5,7 +5,7 @@ source_lines: id, name, relpath, kind (skillmd, script, prose), lineno, line, bo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import lexicons as X
@@ -24,17 +24,15 @@ def source_lines(texts: DataFrame) -> DataFrame:
 
 
 def evidence(hits: DataFrame) -> DataFrame:
-    """id, name, n, first (three hits as relpath:line: snippet), texts of hits (id, name, relpath, lineno, line).
+    """id, name, n, first (three hits as relpath:line: snippet) of hits (id, name, relpath, lineno, line).
 
-    The least three are kept while counting, so a source of very many hits is never gathered.
+    The rank limit is applied before the shuffle too, so a source of very many hits sends three rows from each task.
     """
     at = F.struct("relpath", "lineno", T.clipped(F.trim("line"), 100).alias("snippet"))
-    grouped = hits.groupBy("id", "name").agg(F.count("*").alias("n"), F.count_distinct("relpath").alias("files"))
-    ranked = hits.withColumn("at", at)
-    # per source file first, then over the files: the first three by place
-    per = ranked.groupBy("id", "name", "relpath").agg(F.slice(F.array_sort(F.collect_set("at")), 1, 3).alias("first"))
-    first = per.groupBy("id", "name").agg(F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, 3).alias("first"), F.array_sort(F.collect_list("relpath")).alias("relpaths"))
-    return grouped.join(first, ["id", "name"])
+    place = Window.partitionBy("id", "name").orderBy("relpath", "lineno", "line")
+    least = hits.select("id", "name", "relpath", "lineno", "line").withColumn("k", F.row_number().over(place)).where("k <= 3")
+    first = least.groupBy("id", "name").agg(F.array_sort(F.collect_list(at)).alias("first"))
+    return hits.groupBy("id", "name").agg(F.count("*").alias("n")).join(first, ["id", "name"])
 
 
 def _flag(lines: DataFrame, check_id: str, rule: Column, kinds: tuple[str, ...], severity: Column | str = "warning") -> DataFrame:

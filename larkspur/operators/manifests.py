@@ -17,7 +17,7 @@ from .findings import finding
 SCHEMA = "https://agent-plugins.org/schemas/1.0.0/plugin.schema.json"
 KNOWN = ["$schema", "name", "version", "description", "author", "homepage", "repository", "license", "keywords", "extensions"]
 CC_KNOWN = [
-    "$schema", "name", "version", "description", "author", "homepage", "repository", "license", "keywords", "displayName", "defaultEnabled", "userConfig", "channels", "dependencies", "settings",
+    "$schema", "name", "version", "displayName", "description", "author", "homepage", "repository", "license", "keywords", "metadata", "defaultEnabled", "userConfig", "channels", "dependencies", "settings",
     "skills", "commands", "agents", "workflows", "hooks", "mcpServers", "lspServers", "outputStyles", "themes", "monitors", "experimental",
 ]
 PATHS = ["skills", "commands", "agents", "workflows", "outputStyles", "themes", "monitors"]

@@ -19,9 +19,16 @@ LOCAL_HOSTS = ["localhost", "127.0.0.1", "[::1]", "0.0.0.0"]
 
 
 def json_string(c: Column) -> Column:
-    """A JSON string literal or null."""
-    quoted = F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
-    return F.coalesce(F.concat(F.lit('"'), quoted, F.lit('"')), F.lit("null"))
+    """An ASCII JSON string literal or null: UTF-16 units beyond printable ASCII as \\uXXXX."""
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+
+    def one(u: Column) -> Column:
+        short = F.when(u == "0022", F.lit('\\"')).when(u == "005C", F.lit("\\\\"))
+        for code, letter in (("000A", "n"), ("000D", "r"), ("0009", "t"), ("0008", "b"), ("000C", "f")):
+            short = short.when(u == code, F.lit("\\" + letter))
+        return short.when((u >= "0020") & (u <= "007E"), F.char(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+
+    return F.coalesce(F.concat(F.lit('"'), F.array_join(F.transform(units, one), ""), F.lit('"')), F.lit("null"))
 
 
 def json_list(c: Column) -> Column:

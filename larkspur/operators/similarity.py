@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.functions.structures import any_angle_bracket
 
 from .findings import finding
 
@@ -197,13 +198,12 @@ def front_matter_checks(skills: DataFrame) -> DataFrame:
 
     blank = F.trim(F.coalesce("description", F.lit(""))) == ""
     valid = F.col("frontmatter_valid")
-    strings = F.regexp_extract_all("frontmatter", F.lit(r':\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
     frames = [
         of("spec-invalid-frontmatter", "error", ~valid, F.lit("invalid")),
         of("spec-name-mismatch", "error", valid & (F.col("name") != F.col("folder")), F.col("folder")),
         of("spec-missing-description", "error", valid & blank, F.lit("missing")),
         of("spec-description-too-long", "error", valid & (F.length("description") > 1024), F.length("description")),
-        of("frontmatter-angle-brackets", "warning", valid & F.exists(strings, lambda s: s.rlike("[<>]")), F.lit("angle bracket")),
+        of("frontmatter-angle-brackets", "warning", valid & any_angle_bracket("frontmatter"), F.lit("angle bracket")),
     ]
     out = frames[0]
     for f in frames[1:]:

@@ -40,6 +40,29 @@ def shares(invocations: DataFrame) -> DataFrame:
     return usage_by_name(invocations).withColumn("percent", F.col("uses") * 100.0 / total)
 
 
+def ranked(rows: DataFrame, overall: bool = False) -> DataFrame:
+    """By harness, uses downward and name; over all harnesses by weekly uses downward and name."""
+    order = [F.col("per_week").desc(), "name"] if overall else ["harness", F.col("uses").desc(), "name"]
+    return rows.orderBy(*order, "kind", F.coalesce("server", F.lit("")))
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """rows with the label that reports show: a mark where a use is inferred, tool for mcp_tool."""
+    return rows.withColumn("label", F.concat("name", F.when(F.col("heuristic"), " ~").otherwise(""))).withColumn("kind_label", F.replace("kind", F.lit("mcp_tool"), F.lit("tool")))
+
+
+def unlike_windows(invocations: DataFrame) -> DataFrame:
+    """harness, span_days where the longest span is over twice the shortest: rates compare, counts do not."""
+    spans = coverage(invocations).select("harness", "span_days")
+    ends = spans.agg(F.max("span_days").alias("most"), F.min("span_days").alias("least"))
+    return spans.join(F.broadcast(ends)).where("most / least > 2").select("harness", "span_days")
+
+
+def uses_of(invocations: DataFrame, name: str) -> DataFrame:
+    """Every use of `name` (or server:tool), newest first."""
+    return invocations.where(matches(name)).orderBy(F.col("ts").desc(), "seq")
+
+
 def drilldown(invocations: DataFrame, name: str) -> DataFrame:
     """Per key and harness, how often `name` (or server:tool) was invoked."""
     return invocations.where(matches(name)).groupBy(*KEY, "harness").agg(F.count("*").alias("n"), F.max("ts").alias("last_used"))

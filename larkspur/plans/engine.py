@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
-from larkspur.operators import drift, findings, linescan, manifests, resolution, routing, servers, similarity, usage
+from larkspur.functions import structures
+from larkspur.operators import drift, findings, linescan, manifests, resolution, routing, servers, similarity, suites, usage
 from larkspur.sources import configs, trees
+from larkspur.sources import harnesses as tables
 
 
 @dataclass
@@ -42,11 +47,26 @@ class World:
     acks: DataFrame | None = None
     queries: DataFrame | None = None
     lock: DataFrame | None = None
+    unreadable: DataFrame | None = None
+    executables: DataFrame | None = None
+    connect_failures: DataFrame | None = None
     settings: Settings = field(default_factory=Settings)
+    _kept: dict[str, DataFrame] = field(default_factory=dict)
+
+    def kept(self, name: str, plan: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several checks read is made once for each scan."""
+        if name not in self._kept:
+            self._kept[name] = plan().persist(StorageLevel.DISK_ONLY)
+        return self._kept[name]
+
+    def release(self) -> None:
+        for df in self._kept.values():
+            df.unpersist()
+        self._kept.clear()
 
     @property
     def marked(self) -> DataFrame:
-        return resolution.mark_shadows(self.loads, self.harnesses)
+        return self.kept("marked", lambda: resolution.mark_shadows(self.loads, self.harnesses))
 
     @property
     def skills(self) -> DataFrame:
@@ -54,11 +74,11 @@ class World:
 
     @property
     def lines(self) -> DataFrame:
-        return linescan.source_lines(trees.scan_texts(self.contributors, self.bundled))
+        return self.kept("lines", lambda: linescan.source_lines(trees.scan_texts(self.contributors, self.bundled)))
 
     @property
     def commands(self) -> DataFrame:
-        return linescan.commands(self.contributors.select("id", "name", F.element_at(F.split("id", "/"), -1).alias("relpath"), "text"))
+        return self.kept("commands", lambda: linescan.commands(self.contributors.select("id", "name", F.element_at(F.split("id", "/"), -1).alias("relpath"), "text")))
 
     @property
     def effective(self) -> DataFrame:
@@ -83,6 +103,12 @@ def unreadable(rows: DataFrame) -> DataFrame:
     return findings.finding(rows, "unreadable-skill", "warning", F.array("path"), none, F.array("harness"), F.col("path"), F.array("harness", "path"))
 
 
+def _lock(w: World) -> DataFrame:
+    """Only skills that a lockfile names have their folders read again."""
+    locked = w.skills.join(w.lock.select("name").distinct(), "name", "left_semi")
+    return drift.lockfile_drift(w.lock, locked.join(trees.tree_hashes(locked), "id", "left"))
+
+
 def _routing(w: World) -> DataFrame:
     ranked = routing.rank(w.queries, w.effective, w.contributors, w.settings.routing_margin)
     return routing.query_routing(w.queries, ranked, w.harnesses)
@@ -98,7 +124,8 @@ CHECKS: dict[str, tuple[tuple[str, ...], Check]] = {
     "double-load": ((), lambda w: resolution.double_load(w.marked)),
     "diverged-copies": ((), lambda w: resolution.diverged_copies(w.contributors, w.marked)),
     "broken-symlink": (("broken_links",), _broken),
-    "lockfile-drift": (("lock",), lambda w: drift.lockfile_drift(w.lock, w.skills.withColumn("tree_hash", F.col("content_hash")))),
+    "unreadable-skill": (("unreadable",), lambda w: unreadable(w.unreadable)),
+    "lockfile-drift": (("lock",), _lock),
     "spec": ((), _spec),
     "missing-activation": ((), lambda w: similarity.missing_activation(w.skills)),
     "generic-description": ((), lambda w: similarity.generic_description(w.skills, w.settings.generic_min_distinct_tokens)),
@@ -118,6 +145,8 @@ CHECKS: dict[str, tuple[tuple[str, ...], Check]] = {
     "mcp-secret-in-config": (("servers",), lambda w: servers.secret_in_config(w.servers)),
     "mcp-unpinned-server": (("servers",), lambda w: servers.unpinned_server(w.servers)),
     "mcp-insecure-url": (("servers",), lambda w: servers.insecure_url(w.servers)),
+    "mcp-dead-server": (("servers", "executables"), lambda w: servers.dead_server(w.servers, w.executables)),
+    "mcp-connect-failed": (("connect_failures",), lambda w: servers.connect_failed(w.connect_failures)),
     "mcp-shadowed-server": (("servers",), lambda w: servers.shadowed_server(w.servers)),
     "mcp-diverged-server": (("servers",), lambda w: servers.diverged_server(w.servers, w.harnesses)),
     "mcp-tool-collision": (("servers", "tools"), lambda w: servers.tool_collision(w.tools, w.servers)),
@@ -126,16 +155,22 @@ CHECKS: dict[str, tuple[tuple[str, ...], Check]] = {
 }
 
 
-def open_world(spark: SparkSession, project: str, home: str, server_specs: list[tuple] | None = None, settings: Settings | None = None, harnesses: list[dict] | None = None) -> World:
-    """Walks the roots, reads skills, plugins and server settings."""
+def open_world(spark: SparkSession, project: str, home: str, server_specs: list[tuple] | None = None, settings: Settings | None = None, harnesses: list[dict] | None = None, global_only: bool = False) -> World:
+    """Walks the roots of some harnesses (those with a marker, if none are given), reads skills, plugins, server settings,
+    the lockfile and which commands exist."""
+    used = tables.detected(project, home, global_only) if harnesses is None else harnesses
     plugins = configs.installed_plugins(home, project)
-    instances = trees.discover(spark, project, home, harnesses, plugins).cache()
-    skills = trees.contributors(instances).withColumn("seq", F.xxhash64("id")).cache()
-    own = [r["real"] for r in instances.where("path like '%/SKILL.md'").select("real").distinct().toLocalIterator()]
-    raw = configs.server_configs(spark, server_specs or [], project)
+    instances = trees.discover(spark, project, home, used, plugins, global_only).cache()
+    lock = configs.lockfile(configs.texts(spark, [f"{project}/skills-lock.json"]))
+    read = suites.assign(suites.lock_provenance(trees.contributors(instances), lock), suites.plugin_registry(spark, home))
+    skills = read.withColumn("seq", F.xxhash64("id")).cache()
+    broken = [trees.broken_links(spark, h["id"], [tables.specs_at(s, project, home) for s in [*([] if global_only else h["project"]), *h["user"]]]) for h in used]
+    raw = configs.server_configs(spark, tables.server_specs(project, home, used, global_only) if server_specs is None else server_specs, project)
+    found = servers.parse_servers(raw)
     return World(
-        contributors=skills, instances=instances, loads=trees.loads(instances, skills.drop("kind")), harnesses=trees.harness_table(spark, harnesses), bundled=trees.bundled_files(spark, own),
-        servers=servers.parse_servers(raw), config_errors=servers.config_errors(raw), settings=settings or Settings(),
+        contributors=skills, instances=instances, loads=trees.loads(instances, skills.drop("kind")), harnesses=tables.harness_table(spark, used), bundled=trees.bundled_files(skills.where("is_skill_md")).cache(),
+        broken_links=findings.union_all(broken) if broken else None, unreadable=trees.unreadable(instances, skills), lock=lock if lock.take(1) else None, servers=found, config_errors=servers.config_errors(raw),
+        executables=configs.executables(spark, found), settings=settings or Settings(),
     )
 
 
@@ -156,9 +191,11 @@ def lint_plugin(documents: DataFrame, cc_documents: DataFrame, mcp_documents: Da
     ]))
 
 
-def audit(invocations: DataFrame, since: str | None = None, project: str | None = None) -> dict[str, DataFrame]:
-    own = usage.in_scope(invocations, since, project, None if project is None else project.replace("/", "-").replace(".", "-"))
-    return {"by_name": usage.usage_by_name(own), "coverage": usage.coverage(own), "rollup": usage.rollup(own)}
+def audit(invocations: DataFrame, since: str | None = None, project: str | None = None, now: dt.datetime | None = None) -> dict[str, DataFrame]:
+    """since: Nd or an ISO date. Tables in the order in which they are read."""
+    cutoff = None if since is None else structures.since(since, now or dt.datetime.now(dt.timezone.utc)).isoformat()
+    own = usage.in_scope(invocations, cutoff, project, None if project is None else project.replace("/", "-").replace(".", "-"))
+    return {"by_name": usage.ranked(usage.labelled(usage.usage_by_name(own))), "coverage": usage.coverage(own), "windows": usage.unlike_windows(own), "rollup": usage.ranked(usage.labelled(usage.rollup(own)), overall=True)}
 
 
 def explain(spark: SparkSession, world: World, query: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import shutil
 import tomllib
 from pathlib import Path
 
@@ -58,13 +59,25 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("config_hash", "server", "date", F.explode("tools").alias("t")).select("config_hash", "server", "date", F.col("t.name").alias("tool"), "t.description", "t.schema_tokens", "t.schema_text")
 
 
+def texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, text of the files that are there."""
+    return spark.createDataFrame([(p, Path(p).read_text(encoding="utf-8", errors="replace")) for p in paths if Path(p).is_file()], "path string, text string")
+
+
+def executables(spark: SparkSession, servers: DataFrame) -> DataFrame:
+    """Commands of servers that exist here: on the path, or as an absolute file."""
+    named = [r["command"] for r in servers.where("command <> ''").select("command").distinct().toLocalIterator()]  # one for each server setting
+    return spark.createDataFrame([(c,) for c in named if shutil.which(c)], "command string")
+
+
 def lockfile(texts: DataFrame) -> DataFrame:
     """name, source, expected of lockfiles (text): the skills map, or the top level."""
     v = texts.withColumn("v", F.expr("try_parse_json(text)"))
     block = F.expr("coalesce(try_variant_get(v, '$.skills', 'map<string,variant>'), try_variant_get(v, '$', 'map<string,variant>'))")
     e = v.select(F.explode(block).alias("name", "e")).where("schema_of_variant(e) like 'OBJECT%'")
     first = F.coalesce(*[F.expr(f"try_variant_get(e, '$.{k}', 'string')") for k in ("computedHash", "hash", "integrity", "sha256")])
-    return e.select("name", F.expr("try_variant_get(e, '$.source', 'string')").alias("source"), F.regexp_replace(first, r"^sha256[-:]", "").alias("expected"))
+    folder = F.rtrim(F.regexp_replace(F.expr("try_variant_get(e, '$.skillPath', 'string')"), r"SKILL\.md$", ""), F.lit("/"))
+    return e.select("name", F.expr("try_variant_get(e, '$.source', 'string')").alias("source"), F.regexp_replace(first, r"^sha256[-:]", "").alias("expected"), folder.alias("folder"))
 
 
 def pins(spark: SparkSession, home: DataFrame, project: DataFrame) -> DataFrame:
@@ -162,4 +175,36 @@ def installed_plugins(home: str, project: str) -> list[dict]:
             best = max(versions, key=version_order)
             flat = (base / best / "plugin.json").is_file()
             out.append(_plugin("codex", name, best, [str(base / best / "skills")], not (isinstance(entry, dict) and entry.get("enabled") is False), not flat))
+    return out + _copilot(top) + _droid(top)
+
+
+def _text(value: object) -> str | None:
+    return str(value) if value else None
+
+
+def _copilot(top: Path) -> list[dict]:
+    """A list of installs in one settings file; another says which are switched off."""
+    config, settings = _json(top / ".copilot/config.json"), _json(top / ".copilot/settings.json")
+    installs = config.get("installedPlugins") if isinstance(config, dict) else None
+    switched = settings.get("enabledPlugins") if isinstance(settings, dict) else None
+    out = []
+    for one in installs if isinstance(installs, list) else ():
+        if not isinstance(one, dict) or not one.get("name") or not isinstance(one.get("cache_path"), str | None):
+            continue
+        name, market = str(one["name"]), one.get("marketplace")
+        root = Path(one["cache_path"]) if one.get("cache_path") else top / ".copilot/installed-plugins" / str(market or "") / name
+        off = isinstance(switched, dict) and switched.get(f"{name}@{market}" if market else name) is False
+        out.append(_plugin("copilot", name, _text(one.get("version")), [str(root / "skills")], not off, True))
+    return out
+
+
+def _droid(top: Path) -> list[dict]:
+    """One state file for each install; only the user's count."""
+    folder, out = top / ".factory/plugins/installed_plugins", []
+    for file in sorted(folder.glob("*.json")) if folder.is_dir() else ():
+        state = _json(file)
+        name, entry = (state.get("pluginId"), state.get("entry")) if isinstance(state, dict) else (None, None)
+        path = entry.get("installPath") if isinstance(entry, dict) and entry.get("scope") == "user" else None
+        if isinstance(name, str) and isinstance(path, str) and path:
+            out.append(_plugin("droid", name.partition("@")[0], _text(entry.get("version")), [f"{path}/skills"], entry.get("enabled") is not False, True))
     return out

@@ -13,20 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.functions.structures import tree_digest
 from larkspur.session import prepare
 
+from .harnesses import detected, specs_at
+
 SNIFF, SCAN_CAP = 8192, 1 << 20
 PROVENANCE = {"source", "ref", "tree_sha"}
 INSTANCE = "harness string, scope string, kind string, ord int, path string, real string, via_symlink boolean, plugin string"
 
-# Where the best documented harnesses keep skills, commands and server settings.
-HARNESSES = [
-    {"id": "claude-code", "project": [".claude/skills"], "user": [".claude/skills"], "commands": [".claude/commands"], "root_md": [], "order": "project-first", "recursive": True},
-    {"id": "pi", "project": [".pi/skills", ".agents/skills"], "user": [".pi/agent/skills", ".agents/skills"], "commands": [], "root_md": [".pi/skills", ".pi/agent/skills"], "order": "global-first", "recursive": True},
-    {"id": "cursor", "project": [".cursor/skills", ".agents/skills"], "user": [".cursor/skills", ".agents/skills"], "commands": [], "root_md": [], "order": "project-first", "recursive": True},
-]
-
-
 def walk(base: str) -> Iterator[str]:
     """Files below base in order, links followed, each real folder once."""
     seen: set[str] = set()
@@ -69,21 +64,20 @@ def broken_links(spark: SparkSession, harness: str, bases: list[str]) -> DataFra
     return spark.createDataFrame(rows, "harness string, path string")
 
 
-def harness_table(spark: SparkSession, harnesses: list[dict] | None = None) -> DataFrame:
-    return spark.createDataFrame([(h["id"], h["order"], h["recursive"]) for h in harnesses or HARNESSES], "id string, search_order string, recursive boolean")
-
-
 def discover(spark: SparkSession, project: str, home: str, harnesses: list[dict] | None = None, plugins: list[dict] | None = None, global_only: bool = False) -> DataFrame:
-    """Every instance of a skill or command: native roots in order of precedence, commands from 1000, plugin roots last."""
+    """Every instance of a skill or command: native roots in order of precedence, commands from 1000, plugin roots last.
+
+    harnesses: those to look for; without them, the ones whose markers exist.
+    """
     rows = []
-    for h in harnesses or HARNESSES:
-        own = [] if global_only else [(project, s, "project") for s in h["project"]]
-        user = [(home, s, "user") for s in h["user"]]
+    for h in detected(project, home, global_only) if harnesses is None else harnesses:
+        own = [] if global_only else [(s, "project") for s in h["project"]]
+        user = [(s, "user") for s in h["user"]]
         roots = user + own if h["order"] == "global-first" else own + user
-        for k, (top, spec, scope) in enumerate(roots):
-            rows += [(h["id"], scope, "skill", k, p, None) for p in skill_files(os.path.join(top, spec), h["recursive"], spec in h["root_md"])]
-        for k, (top, scope) in enumerate([(home, "user")] if global_only else [(project, "project"), (home, "user")]):
-            rows += [(h["id"], scope, "command", 1000 + k, p, None) for s in h["commands"] for p in command_files(os.path.join(top, s))]
+        for k, (spec, scope) in enumerate(roots):
+            rows += [(h["id"], scope, "skill", k, p, None) for p in skill_files(specs_at(spec, project, home), h["recursive"], spec in h["root_md"])]
+        for k, (spec, scope) in enumerate([*([] if global_only else [(s, "project") for s in h["commands"]]), *((s, "user") for s in h["user_commands"])]):
+            rows += [(h["id"], scope, "command", 1000 + k, p, None) for p in command_files(specs_at(spec, project, home))]
         for k, p in enumerate(x for x in plugins or [] if x["harness"] == h["id"] and x["enabled"]):
             rows += [(h["id"], p["scope"], "skill", len(roots) + k, f, p["name"]) for r in p["skills_roots"] for f in skill_files(r, p["recursive"])]
     full = [(a, b, c, k, p, os.path.realpath(p), is_linked(p), plugin) for a, b, c, k, p, plugin in rows]
@@ -152,21 +146,37 @@ def contributors(instances: DataFrame) -> DataFrame:
     return joined.select("*", F.when(F.col("p") == 1, "project").otherwise("user").alias("scope"), kind.alias("provenance"), T.approximate_tokens(line).alias("catalog_tokens"), T.approximate_tokens("body").alias("body_tokens"), F.col("id").endswith("/SKILL.md").alias("is_skill_md"), F.element_at(F.split("id", "/"), -2).alias("folder")).drop("p")
 
 
-def bundled_files(spark: SparkSession, skills: list[str]) -> DataFrame:
-    """id, relpath, size, content_hash, is_text, oversize, text of every other file of skills, read where the workers are."""
-    rows = [(s, os.path.relpath(p, os.path.dirname(s)), p) for s in skills for p in walk(os.path.dirname(s)) if p != s]
+def bundled_files(skills: DataFrame) -> DataFrame:
+    """id, relpath, size, content_hash, is_text, oversize, text of every other file of skills (id); walked and read where
+    the workers are, a folder each."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for own, rel, path in zip(batch["id"], batch["relpath"], batch["path"], strict=True):
-                data = Path(path).read_bytes()
-                plain = b"\0" not in data[:SNIFF]
-                out.append((own, rel, len(data), "sha256:" + hashlib.sha256(data).hexdigest(), plain, len(data) > SCAN_CAP, data.decode("utf-8", "replace") if plain and len(data) <= SCAN_CAP else None))
-            yield pd.DataFrame(out, columns=["id", "relpath", "size", "content_hash", "is_text", "oversize", "text"])
-
-    listing = prepare(spark).createDataFrame(rows, "id string, relpath string, path string")
-    return listing.mapInPandas(read, "id string, relpath string, size bigint, content_hash string, is_text boolean, oversize boolean, text string")
+            for own in batch["id"]:
+                out = []
+                for path in (p for p in walk(os.path.dirname(own)) if p != own):
+                    data = Path(path).read_bytes()
+                    plain = b"\0" not in data[:SNIFF]
+                    out.append((own, os.path.relpath(path, os.path.dirname(own)), len(data), "sha256:" + hashlib.sha256(data).hexdigest(), plain, len(data) > SCAN_CAP, data.decode("utf-8", "replace") if plain and len(data) <= SCAN_CAP else None))
+                yield pd.DataFrame(out, columns=["id", "relpath", "size", "content_hash", "is_text", "oversize", "text"])
+
+    return skills.select("id").distinct().mapInPandas(read, "id string, relpath string, size bigint, content_hash string, is_text boolean, oversize boolean, text string")
+
+
+def tree_hashes(skills: DataFrame) -> DataFrame:
+    """id, tree_hash of the folders of skills (id), as lockfiles record them."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tops = [os.path.dirname(own) for own in batch["id"]]
+            yield pd.DataFrame({"id": batch["id"], "tree_hash": [tree_digest([(os.path.relpath(p, t), Path(p).read_bytes()) for p in walk(t)]) for t in tops]})
+
+    return skills.select("id").distinct().mapInPandas(read, "id string, tree_hash string")
+
+
+def unreadable(instances: DataFrame, skills: DataFrame) -> DataFrame:
+    """harness, path of files that were found and could not be read."""
+    return instances.join(skills.select(F.col("id").alias("real")), "real", "left_anti").select("harness", "path").distinct()
 
 
 def scan_texts(skills: DataFrame, bundled: DataFrame) -> DataFrame:

@@ -3,10 +3,10 @@
 from larkspur.operators import findings as FN
 from larkspur.plans import adapters as A
 from larkspur.plans import engine, registry
-from larkspur.sources import trees
+from larkspur.sources import harnesses, trees
 from tests.test_sources import SKILL, put
 
-CLAUDE = [h for h in trees.HARNESSES if h["id"] == "claude-code"]
+CLAUDE = [h for h in harnesses.HARNESSES if h["id"] == "claude-code"]
 
 
 def scan(spark, tmp_path, skills, settings=None, specs=None, checks=None):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import linescan as L
 from larkspur.operators import resolution as R
 from larkspur.operators import servers as S
-from larkspur.sources import archives, configs, sinks, traces, trees
+from larkspur.sources import archives, configs, harnesses, sinks, traces, trees
 from larkspur.streaming import ingest
 
 
@@ -39,18 +39,18 @@ def world(tmp_path):
 
 def test_tree_to_findings(spark, world):
     project, home = world
-    found = trees.discover(spark, project, home, [h for h in trees.HARNESSES if h["id"] == "claude-code"])
+    found = trees.discover(spark, project, home, [h for h in harnesses.HARNESSES if h["id"] == "claude-code"])
     rows = {r.path.split("/")[-2] + "/" + r.path.split("/")[-1]: r for r in found.collect()}
     assert rows["linked/SKILL.md"].via_symlink and rows["go.md" if "go.md" in rows else "commands/go.md"].ord == 1000
     skills = trees.contributors(found).cache()
     by_name = {(r.name, r.scope, r.system, r.frontmatter_valid) for r in skills.collect()}
     assert by_name == {("one", "project", False, True), ("sys", "user", True, False), ("go", "project", False, True)} | {("one", "project", False, True)}
     assert [r.path.endswith("dead") for r in trees.broken_links(spark, "claude-code", [project + "/.claude/skills"]).collect()] == [True]
-    bundled = trees.bundled_files(spark, [r.id for r in skills.where("is_skill_md").collect()])
+    bundled = trees.bundled_files(skills.where("is_skill_md"))
     assert sorted(r.relpath for r in bundled.collect()) == [".env", "run.sh"]
     lines = L.source_lines(trees.scan_texts(skills, bundled))
     assert [r.contributor_names for r in L.injection_egress(lines).collect()] == [["one"]]
-    marked = R.mark_shadows(trees.loads(found, skills), trees.harness_table(spark))
+    marked = R.mark_shadows(trees.loads(found, skills), harnesses.harness_table(spark))
     assert marked.where("shadowed_by is not null").count() == 1  # the linked copy comes first by path
     assert [r.command for r in L.commands(skills.select("id", "name", F.lit("x").alias("relpath"), "text")).collect()] == ["ls -la"]
 
