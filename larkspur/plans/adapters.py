@@ -187,7 +187,7 @@ MANIFESTS = {
         '{"$schema": "https://agent-plugins.org/schemas/1.0.0/plugin.schema.json", "name": "good-name", "version": "1.0.0", "keywords": ["a"], "author": {"name": "x"}}',
         '{"name": "Bad..Name", "version": 2, "keywords": ["a", 1], "author": "x", "extra": 1, "extensions": []}', '{"$schema": "https://example.com/other.json", "name": "-x", "license": null}', '{"broken": ', '{"$schema": 5, "homepage": ["x"], "zeta": true}',
     ],
-    "cc": ['{"name": "good-name", "version": "2.0.0", "skills": "./skills", "hooks": {}}', '{"name": "Not Kebab", "commands": {"a": 1}, "agents": ["./agents/a.md", "./gone.md"], "mystery": 1}', '{"version": "1", "hooks": 5, "mcpServers": "./mcp.json"}', "[1", '{"name": ""}'],
+    "cc": ['{"name": "good-name", "version": "2.0.0", "skills": "./skills", "hooks": {}, "metadata": {"team": "x"}}', '{"name": "Not Kebab", "commands": {"a": 1}, "agents": ["./agents/a.md", "./gone.md"], "mystery": 1}', '{"version": "1", "hooks": 5, "mcpServers": "./mcp.json"}', "[1", '{"name": ""}'],
     "mcp": [
         '{"$schema": "s", "mcpServers": {"ok": {"type": "stdio", "command": "node", "args": ["a"], "env": {"A": "b"}}, "far": {"type": "sse", "url": "https://u:p@h.example/x#frag"}}}',
         '{"mcpServers": {"a": {"type": "stdio", "command": "./bin/run"}, "b": {"type": "stdio", "command": "two words"}, "c": {"type": "stdio", "command": "a/b"}, "d": {"type": "tcp"}, "e": {"type": "stdio"}, "f": 5}}',
@@ -243,7 +243,7 @@ def queries_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = """
 queries AS (
-  SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9](?:[a-z0-9''-]*[a-z0-9])?')[1:8], ' ') AS query, CASE WHEN item_id % 3 = 0 THEN 'src' || CAST(item_id % 20 AS VARCHAR) || '-1' END AS expect FROM benchmark
+  SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9](?:[a-z0-9''-]*[a-z0-9])?'), ' ') AS query, CASE WHEN item_id % 3 = 0 THEN 'src' || CAST(item_id % 20 AS VARCHAR) || '-1' END AS expect FROM benchmark
 )"""
 
 

@@ -158,7 +158,7 @@ def check_opposing_imperatives(spark: SparkSession, d: str) -> DataFrame:
 
 def _spec(spark: SparkSession, d: str) -> DataFrame:
     c = A.contributors(spark, d)
-    return c.select("id", "name", F.when(F.col("seq") % 4 == 0, F.col("name")).otherwise("other").alias("folder"), (F.col("seq") % 10 != 0).alias("frontmatter_valid"), F.when(F.col("seq") % 6 == 0, " ").otherwise(F.col("text")).alias("description"), F.when(F.col("seq") % 8 == 0, '{"a": "x <b>"}').otherwise('{"a": "plain", "n": 1}').alias("frontmatter"), "content_hash")
+    return c.select("id", "name", F.when(F.col("seq") % 4 == 0, F.col("name")).otherwise("other").alias("folder"), (F.col("seq") % 10 != 0).alias("frontmatter_valid"), F.when(F.col("seq") % 6 == 0, " ").otherwise(F.col("text")).alias("description"), F.when(F.col("seq") % 16 == 0, '{"a": "x <b>"}').when(F.col("seq") % 8 == 0, '{"tags": ["ok", {"deep": ["y > z"]}]}').otherwise('{"a": "plain", "n": 1, "<key>": ["v", null]}').alias("frontmatter"), "content_hash")
 
 
 SPEC = A.CONTRIBUTORS + ", s AS (SELECT id, name, CASE WHEN seq % 4 = 0 THEN name ELSE 'other' END AS folder, seq % 10 <> 0 AS ok, CASE WHEN seq % 6 = 0 THEN ' ' ELSE text END AS description, seq % 8 = 0 AS angle FROM contributors)"
@@ -239,12 +239,14 @@ def drift_entries(spark: SparkSession, d: str) -> DataFrame:
     return D.classify_entries(entries, s, A.values(spark, [], "path string, loadout string, selector string"), "me/it")
 
 
-@query("""WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE sha256(coalesce(text, '')) END AS h FROM documents WHERE doc_id % 4 <> 0)
-SELECT CAST(coalesce(a.doc_id, b.doc_id) AS VARCHAR) AS path, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+@query("""WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(coalesce(text, '')) AS h FROM documents),
+b AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'moved/' ELSE '' END || CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE sha256(coalesce(text, '')) END AS h FROM documents)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path""")
 def drift_files(spark: SparkSession, d: str) -> DataFrame:
+    """All documents against all of them again, some moved and some changed."""
     docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.col("doc_id").cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("hash"))
-    new = docs.where("k % 4 <> 0").withColumn("hash", F.when(F.col("k") % 5 == 0, "x").otherwise(F.col("hash")))
-    return D.diff_files(docs.where("k % 3 <> 0"), new)
+    new = docs.select(F.concat(F.when(F.col("k") % 4 == 0, "moved/").otherwise(""), "path").alias("path"), F.when(F.col("k") % 5 == 0, "x").otherwise(F.col("hash")).alias("hash"))
+    return D.diff_files(docs, new)
 
 
 @query("""WITH f AS (SELECT source, string_agg(sha256(coalesce(text, '')) || '  ' || CAST(doc_id AS VARCHAR) || chr(10), '' ORDER BY CAST(doc_id AS VARCHAR)) AS l FROM documents GROUP BY 1) SELECT source, 'sha256:' || sha256(l) AS manifest FROM f""")

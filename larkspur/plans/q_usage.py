@@ -94,11 +94,18 @@ def ack_fold(spark: SparkSession, d: str) -> DataFrame:
     return FN.fold_ack_events(A.ack_events(spark, d))
 
 
-@query("WITH " + A.ACK_EVENTS + """, base AS (SELECT DISTINCT fingerprint FROM ack_events WHERE CAST(fingerprint AS BIGINT) % 3 <> 0), cur AS (SELECT DISTINCT fingerprint FROM ack_events WHERE CAST(fingerprint AS BIGINT) % 4 <> 0)
+RENAMED = "CASE WHEN CAST(fingerprint AS BIGINT) % 4 = 0 THEN 'new-' ELSE '' END || fingerprint"
+
+
+def _renamed(e: DataFrame) -> DataFrame:
+    return e.withColumn("fingerprint", F.concat(F.when(F.col("fingerprint").cast("bigint") % 4 == 0, "new-").otherwise(""), "fingerprint"))
+
+
+@query("WITH " + A.ACK_EVENTS + f""", base AS (SELECT DISTINCT fingerprint FROM ack_events), cur AS (SELECT DISTINCT {RENAMED} AS fingerprint FROM ack_events)
 SELECT fingerprint, 'acknowledged' AS action FROM cur WHERE fingerprint NOT IN (SELECT fingerprint FROM base) UNION ALL SELECT fingerprint, 'reopened' FROM base WHERE fingerprint NOT IN (SELECT fingerprint FROM cur)""")
 def ack_mint(spark: SparkSession, d: str) -> DataFrame:
     e = A.ack_events(spark, d)
-    return FN.mint_events(e.where("cast(fingerprint as bigint) % 3 <> 0"), e.where("cast(fingerprint as bigint) % 4 <> 0"))
+    return FN.mint_events(e, _renamed(e))
 
 
 @query("WITH " + A.ACK_EVENTS + " SELECT action, count(*) AS n FROM ack_events GROUP BY 1")
@@ -106,12 +113,12 @@ def ack_summary(spark: SparkSession, d: str) -> DataFrame:
     return A.ack_events(spark, d).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("WITH " + A.ACK_EVENTS + """, old AS (SELECT fingerprint, min(server_sequence) AS server_sequence FROM ack_events WHERE server_sequence % 2 = 0 GROUP BY 1), new AS (SELECT fingerprint, max(server_sequence) AS server_sequence FROM ack_events WHERE server_sequence % 5 = 0 GROUP BY 1)
+@query("WITH " + A.ACK_EVENTS + f""", old AS (SELECT fingerprint, min(server_sequence) AS server_sequence FROM ack_events GROUP BY 1), new AS (SELECT {RENAMED} AS fingerprint, max(server_sequence) AS server_sequence FROM ack_events GROUP BY 1)
 SELECT * FROM old WHERE fingerprint NOT IN (SELECT fingerprint FROM new) UNION ALL SELECT * FROM new""")
 def store_upsert(spark: SparkSession, d: str) -> DataFrame:
     e = A.ack_events(spark, d)
-    old = e.where("server_sequence % 2 = 0").groupBy("fingerprint").agg(F.min("server_sequence").alias("server_sequence"))
-    return FN.upsert(old, e.where("server_sequence % 5 = 0").groupBy("fingerprint").agg(F.max("server_sequence").alias("server_sequence")), ["fingerprint"])
+    old = e.groupBy("fingerprint").agg(F.min("server_sequence").alias("server_sequence"))
+    return FN.upsert(old, _renamed(e).groupBy("fingerprint").agg(F.max("server_sequence").alias("server_sequence")), ["fingerprint"])
 
 
 @query("WITH " + A.ACK_EVENTS + " SELECT fingerprint, count(*) AS n FROM ack_events WHERE fingerprint IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer) GROUP BY 1")
