@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.functions import structures
-from larkspur.operators import drift, findings, linescan, manifests, resolution, routing, servers, similarity, suites, usage
-from larkspur.sources import configs, trees
+from larkspur.operators import drift, findings, linescan, loadouts, manifests, reports, resolution, routing, servers, similarity, suites, usage
+from larkspur.sources import configs, targets, trees
 from larkspur.sources import harnesses as tables
 
 
@@ -210,3 +210,64 @@ def verdict_statistics(verdicts: DataFrame) -> DataFrame:
 
 def normalised_selector(name: str = "name") -> F.Column:
     return T.slug(name)
+
+
+def lint(spark: SparkSession, path: str, forced: str | None = None, settings: Settings | None = None) -> DataFrame:
+    """Findings about one plugin, skill, marketplace or file of server settings, without harnesses."""
+    target = targets.classify(path, forced)
+    root = target.path if target.path.is_dir() else target.path.parent
+    found: list[DataFrame] = []
+    docs = lambda *names: configs.texts(spark, [str(root / n) for n in names]).select(F.lit(str(root)).alias("root"), "text")
+    listing = spark.createDataFrame(targets.plugin_listing(root), "root string, relpath string, is_dir boolean, is_symlink boolean, resolved string")
+    skills: list[str] = []
+    if target.kind == "skill":
+        skills = [str(target.path if target.path.is_file() else target.path / "SKILL.md")]
+    elif target.kind == "plugin":
+        manifest = root / (targets.PLUGIN if target.flavor == "agent-plugins" else targets.CLIENT_PLUGIN)
+        raw = configs._json(manifest)
+        if target.flavor == "agent-plugins":
+            skills = [str(p) for p in sorted((root / "skills").glob("*/SKILL.md"))]
+        else:
+            skills = [str(p) for p in targets.client_plugin_skills(root, raw if isinstance(raw, dict) else {})]
+        none = docs()
+        own, client = (docs(targets.PLUGIN), docs(targets.CLIENT_PLUGIN)) if target.flavor == "agent-plugins" else (none, docs(targets.CLIENT_PLUGIN))
+        texts = configs.texts(spark, [str(p) for p in root.rglob("*.json") if p.is_file()]).select(F.lit(str(root)).alias("root"), F.substring("path", len(str(root)) + 2, 1 << 20).alias("relpath"), F.octet_length("text").cast("bigint").alias("size"), F.col("text").alias("content"))
+        found.append(lint_plugin(own, client, docs("mcp.json"), docs(), listing, texts))
+    elif target.kind == "marketplace":
+        own = docs(target.path.name if target.path.is_file() else targets.MARKETPLACE)
+        found += [manifests.marketplace_invalid(own), manifests.marketplace_unpinned(own), manifests.marketplace_command(own), manifests.marketplace_entry_missing(own, listing)]
+    elif target.flavor == "agent-plugins":
+        own = docs(target.path.name)
+        found += [manifests.mcp_spec_invalid(own, listing), manifests.mcp_spec_placeholder(own)]
+    else:
+        raw = configs.server_configs(spark, [(str(target.path), "mcp-json", "", "project")])
+        held = servers.parse_servers(raw)
+        found += [servers.config_invalid(servers.config_errors(raw)), servers.secret_in_config(held), servers.unpinned_server(held), servers.insecure_url(held), servers.dead_server(held, configs.executables(spark, held))]
+    if skills:
+        rows = trees.prepare(spark).createDataFrame([("", "project", "skill", k, p, str(p), False, None) for k, p in enumerate(skills)], trees.INSTANCE)
+        own = trees.contributors(rows).withColumn("seq", F.xxhash64("id"))
+        world = World(own, rows, trees.loads(rows, own.drop("kind")), tables.harness_table(spark, []), trees.bundled_files(own), settings=settings or Settings())
+        names = [n for n, (needs, _) in CHECKS.items() if not needs and n not in ("double-load", "name-shadow", "budget-catalog-tokens", "diverged-copies", "exact-duplicate")]
+        found.append(scan(world, names))
+    return reports.without_harnesses(findings.merge(findings.union_all(found)))
+
+
+def listed(world: World) -> DataFrame:
+    """What each harness loads, in the order of a report."""
+    own = world.marked.join(world.contributors.select("id", "suite"), "id", "left")
+    return reports.harness_rows(own, world.servers)
+
+
+def show(world: World, ref: str) -> DataFrame:
+    """The finding that a short id names."""
+    found = scan(world)
+    asked = found.sparkSession.createDataFrame([(ref,)], "ref string")
+    return found.join(findings.resolve_refs(found, asked).select("fingerprint"), "fingerprint", "left_semi")
+
+
+def loadout_status(world: World, entries: DataFrame, pins: DataFrame, loadout: str) -> DataFrame:
+    """selector, state of every published entry, skills and servers alike."""
+    skills = drift.classify_entries(entries.where("kind = 'skill'"), world.skills, pins, loadout).select("selector", "state")
+    if world.servers is None:
+        return skills
+    return skills.unionByName(loadouts.server_states(entries.where("kind = 'mcp'"), world.servers).select("selector", "state"))
