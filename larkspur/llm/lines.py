@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .runtime import KeyBitmap, ddl, shards, stored, text_buffers, text_key, tuned
+from .runtime import KeyBitmap, ddl, discard, shards, stored, text_buffers, text_key, tuned
 
 WINDOW = 2
 LONG_WORDS = 50
@@ -117,6 +117,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
     later = matched.join(first, extended).where(F.struct("doc_id", "tk", "line") > F.col("first"))
     # one row for every repeated unit; a document's own are gathered, which its length bounds
     spans = stored(later.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("line", "n")).alias("found")))
+    discard(rows, matched)
     hit = KeyBitmap(spans, "tk", 26)
     maybe = hit.maybe(keyed, "tk")
     right = spans.select(F.col("doc_id").alias("w"), F.col("tk").alias("wk"), "found")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import components
-from .runtime import KeyBitmap, ddl, shards, stored, text_buffers, tuned
+from .runtime import KeyBitmap, ddl, discard, shards, stored, text_buffers, tuned
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -256,6 +256,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHING
             links = links.unionByName(found)
             label = components(links).select(F.col("u").alias("node"), F.col("v").alias("c"))
         tested = tested.unionByName(fresh)
+    discard(member, in_some, texts, sketches)
     if label is None:
         label = spark.createDataFrame([], "node bigint, c bigint")
     named = nodes.select("node", "name", "least").join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))

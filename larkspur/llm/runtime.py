@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -36,11 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only an unset one is set here, as in tests."""
+    """The cluster's shared folder. Where none is set, one process that is driver and executor has a temporary one, as in
+    tests; on a cluster that would be a folder of one machine, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         import tempfile
 
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = f"file://{tempfile.gettempdir()}/larkspur-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -139,13 +143,14 @@ def give_back() -> None:
 
 
 class KeyBitmap:
-    """A one-hash Bloom filter of fixed size over long keys: no false negatives, so it only saves shuffled rows.
+    """A one-hash Bloom filter over long keys: no false negatives, so it only saves shuffled rows.
 
-    It never exceeds `1 << bits` bits however many keys there are; a full one filters nothing and results stay whole.
+    It has some 32 bits for each key, and never more than `1 << bits` however many there are; a full one filters
+    nothing and results stay whole.
     """
 
     def __init__(self, keys: DataFrame, column: str, bits: int = 26):
-        self.bits = bits
+        self.bits = bits = max(16, min(bits, int(32 * keys.count()).bit_length()))
         spot = F.expr(f"(`{column}` & {(1 << bits) - 1}L) + 1")
         rows = keys.groupBy(F.bitmap_bucket_number(spot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("b")).collect()
         flat = np.zeros(1 << (bits - 3), np.uint8)

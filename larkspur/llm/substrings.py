@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .runtime import KeyBitmap, ddl, shards, stored, text_buffers, text_key, tuned
+from .runtime import KeyBitmap, ddl, discard, shards, stored, text_buffers, text_key, tuned
 
 LENGTH = 200
 GRAM = 64
@@ -313,6 +313,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     hot = windows.where("times = 1").join(repeated, ["m", "bytes"]).select("doc_id", "tk", "s", (F.col("s") + length).alias("e"))
 
     spans = stored(whole.unionByName(parts).unionByName(hot).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("s", "e")).alias("found")))
+    discard(several, found, contents, wanted, pieces, twice)
     hit = KeyBitmap(spans, "tk", 26)
     maybe = hit.maybe(keyed, "tk")
     right = spans.select(F.col("doc_id").alias("w"), F.col("tk").alias("wk"), "found")
