@@ -202,7 +202,9 @@ def long_sketches(texts: DataFrame, shingle: int) -> DataFrame:
             sketch = np.packbits((B.mix(kept.view(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1)
             yield from pa.table({"node": shard.column("node").combine_chunks(), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary())}).to_batches()
 
-    return texts.select("node", "text").mapInArrow(work, "node bigint, sketch binary")
+    # a text costs a signature of LONG components whatever its length, so tasks get equal numbers of them
+    n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // 2000))
+    return texts.select("node", "text").repartition(n, "node").mapInArrow(work, "node bigint, sketch binary")
 
 
 def near_copies(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:

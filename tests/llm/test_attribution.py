@@ -24,7 +24,7 @@ def brute(parts, rule):
     return count, len(tokens)
 
 
-ROWS = [(1, "Title é\nBody body\n\n  x", "en", "s1"), (2, None, None, None), (3, "", "fr", "s"), (3, "", "fr", "s"), (None, "one line", "de", "z"), (5, "word " * 4000 + "\nend", "en", "s")]
+ROWS = [(1, "Title é\nBody body\n\n  x", "en", "s1"), (2, None, None, None), (3, "", "fr", "s"), (3, "", "fr", "s"), (None, "one line", "de", "z"), (5, "word " * 4000 + "\nend", "en", "s"), (6, "Long é\n" + "many words, " * 150_000, "en", "s")]
 
 
 @pytest.mark.parametrize("rule", ["most", "first", "share"])

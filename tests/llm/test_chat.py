@@ -73,6 +73,14 @@ def test_conversations_round_trip(spark):
         assert len(spans) == sum(y.role == "assistant" for y in read) == sum(y.masked for y in read)
 
 
+def test_very_long_messages(spark):
+    long = "é<|im_end|>\n[INST] " * 100_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long + "x"), (2, 0, "assistant", long)]
+    formatted = format_conversations(linear_messages(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")))
+    got = {x.tree: tuple(x)[1:5] for x in digest(formatted).collect()}
+    assert got == {1: brute_digest([("user", long), ("assistant", long + "x")]), 2: brute_digest([("assistant", long)])}
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert digest(format_conversations(linear_messages(frame))).collect() == []

@@ -65,6 +65,16 @@ def test_spans_are_cut_and_nothing_else(spark):
     assert got == {1: "Keep é.  nine! tail", 2: "clean text", 3: None}
 
 
+def test_texts_of_several_shards_and_many_blocks(spark):
+    filler = "quite plain words of no item " * 60_000
+    items = [(f"i{k}", f"first{k} second third fourth fifth sixth seventh eighth ninth{k} tenth") for k in range(40)] + [("i3", "another text of the same item id with enough words"), (None, "quite plain words of no item quite plain words")]
+    docs = [(1, items[0][1] + ". " + filler + items[39][1].upper()), (2, filler), (3, items[40][1])]
+    assert len(filler) > 1 << 20
+    for block in (4 << 20, 300):
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string"), block_bytes=block).collect()}
+        assert got == {1: (360_020, 20, ["i0", "i39"]), 2: (360_000, 0, []), 3: (10, 10, ["i3"])}
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert [(r.n_words, r.n_items) for r in decontaminate(docs, bench).collect()] == [(2, 0)]

@@ -55,7 +55,7 @@ def test_plan_holds_every_piece_once_and_never_overfills(histogram):
 
 
 def test_pack_against_the_tokenizer(spark):
-    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(9, None), (1, TEXTS[1]), (None, "null id")]
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(9, None), (1, TEXTS[1]), (None, "null id"), (10, "It's 45 long ones! " * 80_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "1 AS length", "'x' AS sequence_id", "2 AS salt")
     got = pack(docs).collect()
     wanted = []

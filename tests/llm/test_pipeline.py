@@ -33,6 +33,9 @@ def corpus(spark, tmp_path_factory):
         if r.random() < 0.6:
             labels.append((i, 0 if kind == 9 else 1, 0))
     docs += [(300, None, "en", "s", 0), (301, "", None, None, None), (0, *docs[0][1:]), (None, "a null id stays here\nwith two lines", "en", "s", 7)]
+    long = "\n".join(" ".join(word() * 20 for _ in range(12)) for _ in range(1100))
+    assert len(long) > 1 << 20  # more than a worker takes at once
+    docs.append((302, long, "en", "s", len(long)))
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
@@ -84,6 +87,29 @@ def test_stages_against_brute_force(spark, corpus):
     assert max(bins.values()) <= 2048 and len(bins) <= 1 + -(-sum(bins.values()) // 2048)
 
 
+def test_stages_of_nothing(spark, corpus):
+    """Empty tables stay empty, with the columns of documents, through all stages."""
+    docs = cp.table(spark, corpus[0], "documents").where("false")
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.stored(stage(spark, docs, corpus[0]))
+        assert docs.columns == list(cp.COLUMNS) and docs.collect() == [], name
+    assert cp.STAGES[-1][1](spark, docs, corpus[0]).collect() == []
+
+
+def test_ties_and_extra_columns(spark, corpus):
+    """Of rows that are equal in everything one stays; clashing column names do not disturb a stage."""
+    text = "one line of some plain words here\nand a second line that follows it"
+    rows_in = [(7, text, "en", "s", 1), (7, text, "en", "s", 1), (8, text, "en", "s", 1)]
+    docs = spark.createDataFrame(rows_in, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "1 AS node", "2 AS tk", "3 AS goes", "4 AS spans", "5 AS score", "6 AS length")
+    stages = dict(cp.STAGES)
+    assert [tuple(x) for x in stages["near-dedup"](spark, docs, corpus[0]).collect()] == [(7, text, "en", "s", 1)]
+    cut = sorted((x.doc_id, x.text) for x in stages["line dedup"](spark, docs, corpus[0]).collect())
+    assert cut == [(7, text), (7, text), (8, "")]
+    for name in ("quality classifier", "benchmark decontamination"):
+        assert stages[name](spark, docs, corpus[0]).columns == list(cp.COLUMNS)
+    assert len(stages["best-fit packing"](spark, docs, corpus[0]).collect()) == 3
+
+
 def test_run_gives_the_last_stage(spark, corpus):
     out = cp.run(spark, corpus[0])
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100

@@ -23,7 +23,7 @@ def corpus(seed, n=600):
 
 def test_held_out_accuracy(spark):
     docs, labels = corpus(1)
-    docs += [(900, None), (901, ""), (902, "x" * 200_000), (0, docs[0][1]), (None, "null id")]
+    docs += [(900, None), (901, ""), (902, "x" * 200_000), (903, "many words here\n" * 150_000), (0, docs[0][1]), (None, "null id")]
     told = [*labels, (labels[0][0], None), (None, 1), (99999, 1)]
     got = classify_quality(spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS score", "'x' AS features"), spark.createDataFrame(told, "doc_id bigint, quality int")).collect()
     assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
