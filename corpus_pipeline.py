@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and
 reads it again as the next stage's docs. All but the last return the columns of `documents`; extra columns of the
-input are not carried. Null and empty texts go through every stage and end as a sequence's closing token.
+input are not carried, whatever their names. Null and empty texts go through every stage and end as a sequence's closing
+token; empty tables stay empty. Texts of any length are worked on whole. Rows of equal id and text are one document to
+the stages that compare documents: line dedup treats them alike, near-dedup keeps one of them; the other stages judge
+every row for itself. Ties go to the least doc_id (null ids last in near-dedup, first in line dedup), then to the text.
 """
 
 from __future__ import annotations
@@ -26,29 +29,29 @@ def _sized(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; without any label all stay. Equal texts are judged alike."""
     tuned(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model, COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of line runs go from the texts."""
+    """Later repeats of line runs go from the texts; a document that is left without lines stays, as an empty text."""
     return _sized(repeated_lines(docs, keep=("doc_id", "lang", "source", "n_chars")), "kept")
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays, the one of least doc_id; texts without words are only equal to their like."""
     return one_of_each(docs, COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that the benchmark holds go from the texts."""
+    """Passages that the benchmark holds go from the texts; nothing goes where the benchmark is empty."""
     return _sized(cut_spans(docs, decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document is placed in a sequence."""
+    """Every piece of every document is placed in a sequence, repeated rows included."""
     return pack(docs)
 
 
