@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +21,20 @@ def sketched(contributors: DataFrame) -> DataFrame:
 def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b; a.seq < b.seq) of rows (seq, id, content_hash, sketch) whose estimate reaches the threshold.
 
-    Rows of one sketch are compared once, as one; pairs that share no code cannot reach a positive threshold, except
-    two empty sketches. A code that most rows share makes long lists: of an estimate of t at least, two sketches must
-    share one of the first (1 - t) of their codes, so only that prefix is indexed.
+    Rows of one sketch are compared once, as one, and pairs of one content are left out of them: equal hashes say that
+    already. Pairs that share no code cannot reach a positive threshold, except two empty sketches. A code that most
+    rows share makes long lists: of an estimate of t at least, two sketches must share one of the first (1 - t) of
+    their codes, so only that prefix is indexed. Candidates travel as two numbers; sketches join them once each.
     """
-    kinds = rows.groupBy("sketch").agg(F.min("seq").alias("k"))
+    kinds = rows.groupBy("sketch").agg(F.min("seq").alias("k"), (F.min("content_hash") != F.max("content_hash")).alias("varied"))
     n = F.size("sketch")
     prefix = F.slice("sketch", 1, F.greatest(F.lit(1), n - F.ceil(n * threshold).cast("int") + 1))
-    index = kinds.where(F.size("sketch") > 0).select("k", "sketch", F.explode(prefix).alias("code"))
-    a, b = index.select(F.col("k").alias("ka"), F.col("sketch").alias("sa"), "code"), index.select(F.col("k").alias("kb"), F.col("sketch").alias("sb"), "code")
-    met = a.join(b, "code").where("ka < kb").select("ka", "kb", "sa", "sb").distinct()
+    index = kinds.where(F.size("sketch") > 0).select("k", F.explode(prefix).alias("code"))
+    a, b = index.select(F.col("k").alias("ka"), "code"), index.select(F.col("k").alias("kb"), "code")
+    met = a.join(b, "code").where("ka < kb").select("ka", "kb").distinct()
+    met = met.join(kinds.select(F.col("k").alias("ka"), F.col("sketch").alias("sa")), "ka").join(kinds.select(F.col("k").alias("kb"), F.col("sketch").alias("sb")), "kb")
     alike = met.withColumn("estimate", T.sketch_estimate(F.col("sa"), F.col("sb"))).where(F.col("estimate") >= threshold).select("ka", "kb", "estimate")
-    same = kinds.select(F.col("k").alias("ka"), F.col("k").alias("kb"), F.lit(1.0).alias("estimate"))
+    same = kinds.where("varied").select(F.col("k").alias("ka"), F.col("k").alias("kb"), F.lit(1.0).alias("estimate"))
     both = alike.unionByName(alike.select(F.col("kb").alias("ka"), F.col("ka").alias("kb"), "estimate")).unionByName(same)
     own = rows.join(kinds, "sketch").select("seq", "id", "content_hash", "k")
     left = own.select(*[F.col(c).alias(f"{c}_a") for c in ("seq", "id", "content_hash")], F.col("k").alias("ka"))
@@ -87,12 +91,14 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder all executors share; one is set only where the cluster names none."""
+    """Cuts the lineage in the folder all executors share; a temporary one serves only where one process is all there is."""
     context = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
         import tempfile
 
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = f"file://{tempfile.gettempdir()}/larkspur-checkpoints"
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
@@ -163,13 +169,12 @@ def description_overlap(routing: DataFrame, threshold: float = 0.6, near: float
 
 
 def opposing_imperatives(skills: DataFrame) -> DataFrame:
-    """Pairs of skills of which one orders always and the other never the same two words."""
-    said = skills.select("seq", "id", "name", "body", F.explode(T.imperatives("body")).alias("p")).select("seq", "id", "name", "body", "p.kind", "p.phrase").distinct()
+    """Pairs of skills of which one orders always and the other never the same two words; bodies stay behind as hashes."""
+    said = skills.select("seq", "id", "name", T.sha(F.concat_ws("\n", "name", "body")).alias("sha"), F.explode(T.imperatives("body")).alias("p")).select("seq", "id", "name", "sha", "p.kind", "p.phrase").distinct()
     a, b = said.alias("a"), said.alias("b")
     met = a.join(b, (F.col("a.phrase") == F.col("b.phrase")) & (F.col("a.kind") != F.col("b.kind")) & (F.col("a.seq") < F.col("b.seq")))
-    pairs = met.select("a.seq", F.col("b.seq").alias("seq_b"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"), F.col("a.body").alias("body_a"), F.col("b.body").alias("body_b"), "a.phrase").dropDuplicates(["seq", "seq_b", "phrase"])
-    texts = F.array(T.sha(F.concat_ws("\n", "name_a", "body_a")), T.sha(F.concat_ws("\n", "name_b", "body_b")))
-    return finding(pairs, "opposing-imperatives", "warning", F.array("id_a", "id_b"), F.array("name_a", "name_b"), F.array().cast("array<string>"), F.col("phrase"), texts, F.col("phrase"))
+    pairs = met.select("a.seq", F.col("b.seq").alias("seq_b"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"), F.col("a.sha").alias("sha_a"), F.col("b.sha").alias("sha_b"), "a.phrase").dropDuplicates(["seq", "seq_b", "phrase"])
+    return finding(pairs, "opposing-imperatives", "warning", F.array("id_a", "id_b"), F.array("name_a", "name_b"), F.array().cast("array<string>"), F.col("phrase"), F.array("sha_a", "sha_b"), F.col("phrase"))
 
 
 def _one_row(offenders: DataFrame, check_id: str) -> DataFrame:
