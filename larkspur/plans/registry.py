@@ -29,4 +29,4 @@ def flat(findings: DataFrame) -> DataFrame:
 
 
 # each module registers its queries when imported
-from . import q_lines, q_loadouts, q_manifests, q_servers, q_skills, q_usage  # noqa: E402, F401
+from . import q_lines, q_loadouts, q_manifests, q_servers, q_skills, q_sources, q_usage  # noqa: E402, F401
