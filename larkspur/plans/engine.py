@@ -252,6 +252,12 @@ def lint(spark: SparkSession, path: str, forced: str | None = None, settings: Se
     return reports.without_harnesses(findings.merge(findings.union_all(found)))
 
 
+def publishable(spark: SparkSession, path: str, fail_on: str = "warning") -> tuple[bool, DataFrame]:
+    """Whether a folder may be published, and the findings that hold it back."""
+    held = findings.blocking(lint(spark, path), fail_on)
+    return not held.take(1), held
+
+
 def listed(world: World) -> DataFrame:
     """What each harness loads, in the order of a report."""
     own = world.marked.join(world.contributors.select("id", "suite"), "id", "left")

@@ -6,6 +6,7 @@ import json
 import re
 import shutil
 import tomllib
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,9 +141,9 @@ def _json(path: Path):  # noqa: ANN202
         return None
 
 
-def installed_plugins(home: str, project: str) -> list[dict]:
-    """Plugins of the stores that state files describe: harness, name, version, skills_roots, enabled, recursive, scope."""
-    top, out = Path(home), []
+def _claude_code(top: Path, project: str) -> list[dict]:
+    """Installs of the user, and of this project; another file says which are switched off."""
+    out = []
     state, settings = _json(top / ".claude/plugins/installed_plugins.json"), _json(top / ".claude/settings.json")
     switched = settings.get("enabledPlugins") if isinstance(settings, dict) and isinstance(settings.get("enabledPlugins"), dict) else {}
     plugins = state.get("plugins") if isinstance(state, dict) else None
@@ -154,7 +155,12 @@ def installed_plugins(home: str, project: str) -> list[dict]:
             if isinstance(path, str) and path and (scope == "user" or here):
                 version = one.get("version")
                 out.append(_plugin("claude-code", name, None if version is None else str(version), [f"{path}/skills"], switched.get(key) is not False, True, "project" if here else "user"))
-    folder = top / ".gemini/extensions"
+    return out
+
+
+def _gemini_cli(top: Path, project: str) -> list[dict]:
+    """A folder for each extension; rules by folder enable and disable them."""
+    folder, out = top / ".gemini/extensions", []
     rules = _json(folder / "extension-enablement.json")
     for one in sorted(folder.iterdir()) if folder.is_dir() else ():
         manifest = _json(one / "gemini-extension.json")
@@ -162,7 +168,12 @@ def installed_plugins(home: str, project: str) -> list[dict]:
             entry = rules.get(manifest["name"]) if isinstance(rules, dict) else None
             overrides = entry.get("overrides") if isinstance(entry, dict) else None
             out.append(_plugin("gemini-cli", str(manifest["name"]), manifest.get("version"), [str(one / "skills")], rules_enable(overrides if isinstance(overrides, list) else [], str(Path(project).resolve())), False))
-    config = top / ".codex/config.toml"
+    return out
+
+
+def _codex(top: Path, project: str) -> list[dict]:
+    """A list in the settings; of each plugin the newest cached version."""
+    config, out = top / ".codex/config.toml", []
     try:
         listed = tomllib.loads(config.read_text(encoding="utf-8")).get("plugins")
     except (OSError, ValueError):
@@ -175,14 +186,14 @@ def installed_plugins(home: str, project: str) -> list[dict]:
             best = max(versions, key=version_order)
             flat = (base / best / "plugin.json").is_file()
             out.append(_plugin("codex", name, best, [str(base / best / "skills")], not (isinstance(entry, dict) and entry.get("enabled") is False), not flat))
-    return out + _copilot(top) + _droid(top)
+    return out
 
 
 def _text(value: object) -> str | None:
     return str(value) if value else None
 
 
-def _copilot(top: Path) -> list[dict]:
+def _copilot(top: Path, project: str) -> list[dict]:
     """A list of installs in one settings file; another says which are switched off."""
     config, settings = _json(top / ".copilot/config.json"), _json(top / ".copilot/settings.json")
     installs = config.get("installedPlugins") if isinstance(config, dict) else None
@@ -198,7 +209,7 @@ def _copilot(top: Path) -> list[dict]:
     return out
 
 
-def _droid(top: Path) -> list[dict]:
+def _droid(top: Path, project: str) -> list[dict]:
     """One state file for each install; only the user's count."""
     folder, out = top / ".factory/plugins/installed_plugins", []
     for file in sorted(folder.glob("*.json")) if folder.is_dir() else ():
@@ -208,3 +219,12 @@ def _droid(top: Path) -> list[dict]:
         if isinstance(name, str) and isinstance(path, str) and path:
             out.append(_plugin("droid", name.partition("@")[0], _text(entry.get("version")), [f"{path}/skills"], entry.get("enabled") is not False, True))
     return out
+
+
+#: Readers of plugin stores: (home folder, project) to plugins.
+STORES: dict[str, Callable[[Path, str], list[dict]]] = {"claude-code": _claude_code, "codex": _codex, "gemini-cli": _gemini_cli, "copilot": _copilot, "droid": _droid}
+
+
+def installed_plugins(home: str, project: str, stores: dict[str, Callable[[Path, str], list[dict]]] | None = None) -> list[dict]:
+    """Plugins of all stores (or of some): harness, name, version, skills_roots, enabled, recursive, scope."""
+    return [p for read in (STORES if stores is None else stores).values() for p in read(Path(home), project)]

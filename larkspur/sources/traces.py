@@ -5,6 +5,8 @@ Lines end at line feeds only. An event without a readable time neither counts as
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,7 +136,37 @@ def copilot(files: DataFrame, workspaces: DataFrame) -> DataFrame:
     return _rows(tools, "copilot", kind=F.lit("mcp_tool"), server=F.col("server")).unionByName(_rows(skills, "copilot", kind=F.lit("skill")))
 
 
-ADAPTERS = {"claude-code": claude_code, "codex": codex, "pi": pi}
+#: Readers of one client's files; that of copilot also takes the workspaces two folders above.
+ADAPTERS = {"claude-code": claude_code, "codex": codex, "pi": pi, "copilot": copilot}
+VERSION = 1
+
+
+def trace_files(home: str, globs: dict[str, str] | None = None) -> dict[str, list[str]]:
+    """The files of each client below a home folder, in order."""
+    return {harness: sorted(str(p) for p in Path(home).glob(pattern)) for harness, pattern in (PATTERNS if globs is None else globs).items()}
+
+
+def infer_adapter(path: Column | str) -> Column:
+    """Which client wrote a file, by where it lies."""
+    c = T.col(path)
+    return F.when(F.contains(c, F.lit("/.claude/projects/")), "claude-code").when(F.contains(c, F.lit("/.codex/sessions/")), "codex").when(F.contains(c, F.lit("/.pi/agent/sessions/")), "pi").when(F.contains(c, F.lit("/chatSessions/")), "copilot")
+
+
+def invocations(spark: SparkSession, home: str, clients: list[str] | None = None) -> DataFrame:
+    """Uses in all traces below a home folder."""
+    found = {h: files for h, files in trace_files(home).items() if files and (clients is None or h in clients)}
+    rows = []
+    for harness, files in found.items():
+        read = read_files(spark, files)
+        if harness == "copilot":
+            places = sorted({str(Path(f).parent.parent / "workspace.json") for f in files if (Path(f).parent.parent / "workspace.json").is_file()})
+            empty = spark.createDataFrame([], "path string, text string")
+            rows.append(copilot(read, read_files(spark, places) if places else empty))
+        else:
+            rows.append(ADAPTERS[harness](read))
+    if rows:
+        return union_all(rows)
+    return spark.createDataFrame([], "harness string, session_id string, project string, ts timestamp, kind string, name string, server string, query string, reasoning string, sidechain boolean, detection string, source_file string, source_line int")
 
 
 def stale(files: DataFrame, cache: DataFrame, version: int) -> DataFrame:

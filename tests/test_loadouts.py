@@ -206,3 +206,23 @@ def test_unreadable_and_broken_links_reach_the_scan(spark, tmp_path):
     assert r.severity == "warning" and r.contributors == ["/x/SKILL.md"]
     assert [x.fingerprint for x in engine.show(world, r.fingerprint.split(":")[1][:8]).collect()] == [r.fingerprint]
     assert trees.unreadable(world.instances, world.contributors).collect() == []
+
+
+def test_traces_of_a_home_folder(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from larkspur.sources import traces
+
+    line = {"type": "assistant", "timestamp": "2024-01-01T00:00:00Z", "message": {"content": [{"type": "tool_use", "name": "mcp__s__t"}]}}
+    put(tmp_path, ".claude/projects/-w/a.jsonl", json.dumps(line)), put(tmp_path, "ws/chatSessions/x.json", json.dumps({"sessionId": "x", "creationDate": 0, "requests": [{"message": {"text": "q"}, "response": [{"kind": "toolInvocationSerialized", "toolId": "mcp_s_u"}]}]}))
+    put(tmp_path, "ws/workspace.json", '{"folder": "file:///w"}')
+    got = {(r.harness, r.server, r.name, r.project) for r in traces.invocations(spark, str(tmp_path)).collect()}
+    assert got == {("claude-code", "s", "t", None), ("copilot", "s", "u", "/w")}
+    assert traces.invocations(spark, str(tmp_path), ["pi"]).collect() == []
+    paths = spark.createDataFrame([("/h/.claude/projects/a/b.jsonl", "claude-code"), ("/h/.codex/sessions/1/2/3/rollout-x.jsonl", "codex"), ("/h/.pi/agent/sessions/a/b.jsonl", "pi"), ("/w/chatSessions/a.json", "copilot"), ("/x", None)], "path string, want string")
+    assert all(r.got == r.want for r in paths.select("want", traces.infer_adapter(F.col("path")).alias("got")).collect())
+
+
+def test_only_clean_folders_are_publishable(spark, tmp_path):
+    put(tmp_path, "good/SKILL.md", "---\nname: good\ndescription: Use when tidying spreadsheets into tables\n---\nOpen the sheet.\n"), put(tmp_path, "bad/SKILL.md", "---\nname: other\ndescription: x\n---\ny")
+    assert engine.publishable(spark, str(tmp_path / "good"))[0] and not engine.publishable(spark, str(tmp_path / "bad"))[0]
