@@ -197,7 +197,7 @@ def long_sketches(texts: DataFrame, shingle: int) -> DataFrame:
     """node and sketch (LONG bits) of texts (node, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, size=1 << 20):
+        for shard in shards(batches, size=1 << 18):  # a row's signature takes 16 KB
             kept = signatures(*shingles(*text_buffers(shard.column("text")), shingle), shard.num_rows, LONG)
             sketch = np.packbits((B.mix(kept.view(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1)
             yield from pa.table({"node": shard.column("node").combine_chunks(), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary())}).to_batches()

@@ -223,7 +223,8 @@ def cells(docs: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         for shard in shards(batches):
             found = row_features(*text_buffers(shard.column("text")))
             own = ((found - centre) / scale).clip(-6, 6)
-            near = ((ready * ready).sum(1) - 2 * own @ ready.T).argmin(1)
+            square = (ready * ready).sum(1)
+            near = np.concatenate([(square - 2 * own[i : i + 512] @ ready.T).argmin(1) for i in range(0, len(own), 512)])
             count += np.bincount(near, minlength=len(ready))
             for i in range(N_FEATURES):
                 np.add.at(total[i], near, np.rint(found[:, i] * _UNIT).astype(np.int64))

@@ -20,8 +20,9 @@ from larkspur.session import prepare
 #: Rows and bytes in one Arrow batch; a batch of very long texts stays inside a worker's memory.
 BATCH_ROWS = 4096
 BATCH_BYTES = 4 << 20
-#: Bytes of text that a Python worker works on at once.
+#: Bytes of text that a Python worker works on at once, and what a row counts besides its text.
 SHARD_BYTES = 1 << 20
+ROW_BYTES = 64
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -115,7 +116,7 @@ def shards(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SH
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        lens = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+        lens = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64) + ROW_BYTES
         ends, first = np.cumsum(lens), 0
         while first < batch.num_rows:
             before = ends[first - 1] if first else 0
