@@ -19,7 +19,7 @@ from larkspur.session import prepare
 
 #: Rows and bytes in one Arrow batch; a batch of very long texts stays inside a worker's memory.
 BATCH_ROWS = 4096
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Bytes of text that a Python worker works on at once, and what a row counts besides its text.
 SHARD_BYTES = 1 << 20
 ROW_BYTES = 64
