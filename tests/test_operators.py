@@ -1,7 +1,10 @@
 """Operators on small tables: brute force, edge cases, and outcomes of both kinds for every lexicon."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -54,6 +57,35 @@ def test_similar_pairs_equal_all_pairs(spark, threshold):
     assert got == want and want
 
 
+def cosine(a, b):
+    x, y = (Counter(" ".join(t[i : i + 2]) for i in range(max(1, len(t) - 1))) if (t := s.split()) else Counter() for s in (a, b))
+    norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return round(min(1.0, sum(x[g] * y[g] for g in x) / norm), 6) if norm else 0.0
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.6])
+def test_cosine_pairs_equal_all_pairs(spark, threshold, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 3)  # so that copies make several blocks
+    texts = corpus(5)
+    texts += texts[:5] * 4 + ["w1 w2 w3"] * 11 + ["w1 w2 w3 w4", "w2 w3", "w1"] * 2
+    rows = spark.createDataFrame([(f"i{i:03}", t) for i, t in enumerate(texts)], "id string, routing_text string")
+    plain = [" ".join(w for w in re.findall(T.TOKEN, t.lower()) if w not in T.STOPWORDS) for t in texts]
+    got = [(r.id_a, r.id_b, r.cosine) for r in S.cosine_pairs(rows, threshold).collect()]
+    want = {(f"i{i:03}", f"i{j:03}"): c for i, j in combinations(range(len(texts)), 2) if (c := cosine(plain[i], plain[j])) >= threshold}
+    assert len(got) == len({g[:2] for g in got}) and {g[:2] for g in got} == set(want)
+    assert all(c == pytest.approx(want[a, b], abs=2e-6) for a, b, c in got)
+
+
+def test_copies_of_a_text_are_compared_once(spark):
+    rows = spark.createDataFrame([(f"i{i:04}", "one two three four") for i in range(1000)] + [("x", "one two three five")], "id string, routing_text string")
+    members, alike = S.cosine_classes(rows, 0.6)
+    assert sorted(r.cosine for r in alike.collect()) == [0.666667, 1.0, 1.0] and members.count() == 1001
+    pairs = S.expanded(members, alike)
+    assert pairs.count() == 1000 * 999 // 2 + 1000
+    most = max(pairs.groupBy(F.spark_partition_id()).count().collect(), key=lambda r: r["count"])["count"]
+    assert most < 0.75 * 1000 * 1001 / 2  # one task does not get them all
+
+
 def test_representatives_follow_pair_order(spark):
     texts = {0: "a b c d e f g", 1: "a b c d e f g", 2: "other words here at all", 3: "a b c d e f g", 4: "second copy of a name"}
     rows = [(i, f"i{i}", "skill", "n" if i in (2, 4) else f"n{i}", t, "", str(hash(t))) for i, t in texts.items()]
