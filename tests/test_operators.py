@@ -57,6 +57,18 @@ def test_similar_pairs_equal_all_pairs(spark, threshold):
     assert got == want and want
 
 
+def test_what_most_rows_say_makes_no_candidates(spark):
+    r = random.Random(8)
+    said = " ".join(f"c{i}" for i in range(60))  # a passage that all hold; its codes are among the least of every sketch
+    texts = [said + " " + " ".join(f"w{i}x{r.randint(0, 10**6)}" for _ in range(60)) for i in range(120)]
+    texts += [t + " more" for t in texts[:7]]
+    rows = spark.createDataFrame([(i, f"i{i}", "", t, f"h{i}") for i, t in enumerate(texts)], "seq bigint, id string, routing_text string, body string, content_hash string")
+    got = S.similar_pairs(S.sketched(rows), 0.85)
+    assert {(r.seq_a, r.seq_b) for r in got.collect()} == {(i, 120 + i) for i in range(7)}
+    kinds = S.sketched(rows).select(F.col("seq").alias("k"), "sketch")
+    assert S.rare_codes(kinds, 0.85).groupBy("code").count().agg(F.max("count")).first()[0] == 2  # not 127, as of the passage
+
+
 def cosine(a, b):
     x, y = (Counter(" ".join(t[i : i + 2]) for i in range(max(1, len(t) - 1))) if (t := s.split()) else Counter() for s in (a, b))
     norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
