@@ -33,7 +33,9 @@ def rank(queries: DataFrame, effective: DataFrame, contributors: DataFrame, marg
     targets = contributors.where("kind <> 'command'")
     scored = scores(queries, targets.select("id", "routing_text")).join(effective.select("harness", "id", "name"), "id")
     w = Window.partitionBy("harness", "query_id").orderBy(F.col("score").desc(), "name", "id")
-    top = scored.withColumn("place", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where(F.col("place") <= TOP)
+    # first what can be shown or come next to it, so that every task keeps only its own best of each ranking
+    best = scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= TOP + 1)
+    top = best.withColumn("second", F.lead("score").over(w)).where(F.col("place") <= TOP)
     top = top.withColumn("best", F.first(F.struct("score", "second")).over(w))
     verdict = F.when(F.col("best.score") - F.col("best.second") < margin, "contested").otherwise("routes")
     return top.withColumn("verdict", verdict).where(F.col("best.score") >= FLOOR).select("harness", "query_id", "place", "id", "name", "score", "verdict")

@@ -41,3 +41,12 @@ def test_late_words_decide_the_ranking(spark, queries):
     assert (2, "a") in got  # and find nothing here
     for (q, i), (_, s) in got.items():
         assert s == pytest.approx(score({1: LONG, 2: "filler " * 8 + "ledger invoices", 4: "ledger"}[q], texts[i]), abs=1e-5)
+
+
+def test_tasks_keep_only_their_best(spark, queries):
+    ids = [f"t{i:03}" for i in range(300)]
+    contributors = spark.createDataFrame([(i, "skill", "ledger " + "x " * n) for n, i in enumerate(ids)], "id string, kind string, routing_text string")
+    effective = spark.createDataFrame([("h", i, i) for i in ids], "harness string, id string, name string")
+    ranked = RT.rank(queries, effective, contributors)
+    assert [(r.place, r.id, r.verdict) for r in ranked.where("query_id = 4").orderBy("place").collect()] == [(n + 1, i, "routes") for n, i in enumerate(ids[:5])]
+    assert "WindowGroupLimit" in ranked._jdf.queryExecution().executedPlan().toString()  # before rows of a ranking are sorted in one task
